@@ -151,7 +151,7 @@ def _shared(t: pa.Table) -> pa.Table:
 
 
 def _sent(plan: Plan, buckets: int, targets: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-    schema = pa.schema([("target", pa.int64()), (_BLOCK, pa.int64())] + [(k, pa.binary()) for k in ("h", "c", "size", "text_len", "text", "owners", "row", "start", "doc")])
+    schema = pa.schema([("target", pa.int64()), (_BLOCK, pa.int64())] + [(k, pa.binary()) for k in ("h", "size", "text_len", "text", "owners", "row", "start", "doc")])
     if not t.num_rows or not replies.num_rows:
         return schema.empty_table()
     block = t[_BLOCK][0].as_py()
@@ -194,7 +194,7 @@ def _sent(plan: Plan, buckets: int, targets: int, t: pa.Table, replies: pa.Table
     target = _split(x["h"][at], targets)
     cut = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
     end = np.append(cut[1:], len(at))
-    heads = {"h": x["h"][at], "c": x["c"][at], "size": x["size"][at].astype(np.uint8), "text_len": (x["to"] - x["from"])[at].astype(np.int32), "owners": owners.astype(np.int32)}
+    heads = {"h": x["h"][at].astype(np.uint32), "size": x["size"][at].astype(np.uint8), "text_len": (x["to"] - x["from"])[at].astype(np.int32), "owners": owners.astype(np.int32)}
     edge = np.append(at, n)
     rows = {"row": x["row"].astype(np.int32), "start": x["first"].astype(np.int32), "doc": x["doc"].astype(np.int64)}
     lo, hi = x["from"][at], x["to"][at]
@@ -211,11 +211,13 @@ def _sent(plan: Plan, buckets: int, targets: int, t: pa.Table, replies: pa.Table
 
 
 def _matched(plan: Plan, t: pa.Table) -> pa.Table:
+    # Anchors come by their low bits: two that meet in one group only make it larger.
     cat = lambda k, kind: np.frombuffer(b"".join(t[k].to_pylist()), kind)
-    h, c, size, length, owners = cat("h", np.uint64), cat("c", np.uint64), cat("size", np.uint8).astype(np.int64), cat("text_len", np.int32).astype(np.int64), cat("owners", np.int32).astype(np.int64)
+    h, size, length, owners = cat("h", np.uint32), cat("size", np.uint8).astype(np.int64), cat("text_len", np.int32).astype(np.int64), cat("owners", np.int32).astype(np.int64)
     row, start, doc = cat("row", np.int32), cat("start", np.int32), cat("doc", np.int64)
     text = cat("text", np.uint8)
     end = np.cumsum(length)
+    c = kit.span_hashes(text, end - length, end)
     first_owner = np.cumsum(owners) - owners
     o = np.lexsort((doc[first_owner], size, c, h))
     new = np.ones(len(o), bool)
@@ -238,7 +240,7 @@ def _matched(plan: Plan, t: pa.Table) -> pa.Table:
     full = np.where(size == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(size, 63).astype(np.uint64)) - np.uint64(1))
     seg = np.repeat(np.arange(len(h)), owners)
     marks = np.where(doc > least[of[seg]], full[seg], mask[of[seg]])
-    block = np.repeat(np.repeat(t[_BLOCK].to_numpy(), [len(x) // 8 for x in t["h"].to_pylist()]), owners)
+    block = np.repeat(np.repeat(t[_BLOCK].to_numpy(), [len(x) // 4 for x in t["h"].to_pylist()]), owners)
     keep = np.flatnonzero(marks)
     keep = keep[np.argsort(block[keep], kind="stable")]
     bl = block[keep]
@@ -282,6 +284,6 @@ def remove_repeats(docs: DataFrame, plan: Plan, block_bytes: int = BLOCK_BYTES,
     by_block = lambda df: df.groupBy(_BLOCK)
     sent = by_block(dealt).applyInArrow(lambda t: _anchors(plan, buckets, t), "bucket long, __block long, low binary, several binary")
     replies = sent.groupBy("bucket").applyInArrow(_shared, "__block long, bucket long, bits binary, size long")
-    segments = by_block(dealt).cogroup(by_block(replies)).applyInArrow(lambda a, b: _sent(plan, buckets, targets, a, b), "target long, __block long, h binary, c binary, size binary, text_len binary, text binary, owners binary, row binary, start binary, doc binary")
+    segments = by_block(dealt).cogroup(by_block(replies)).applyInArrow(lambda a, b: _sent(plan, buckets, targets, a, b), "target long, __block long, h binary, size binary, text_len binary, text binary, owners binary, row binary, start binary, doc binary")
     marks = segments.groupBy("target").applyInArrow(lambda t: _matched(plan, t), "__block long, row binary, start binary, marks binary")
     return by_block(dealt).cogroup(by_block(marks)).applyInArrow(lambda a, b: _finished(plan, a, b), plan.schema)

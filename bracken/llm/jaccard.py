@@ -149,6 +149,7 @@ def _joined(s0, s1, size):
     alive = np.arange(n)
     leaders: list[int] = []
     members: list[np.ndarray] = []
+    radius: list[int] = []
     near = 8  # places: such sets hang on their leader, and are compared with other leaders' sets only
     while len(alive):
         a = alive[0]
@@ -159,13 +160,14 @@ def _joined(s0, s1, size):
             forest.join(int(a), x)
         leaders.append(int(a))
         members.append(own)
+        radius.append(int(d[(d <= near) & fits].max()))
         alive = alive[(d > near) | ~fits]
     if len(leaders) > 1:
-        lead = np.array(leaders)
+        lead, wide = np.array(leaders), np.array(radius)
         for i in range(len(leaders) - 1):
             rest = np.arange(i + 1, len(leaders))
             d = _differ(s0[lead[i]], s1[lead[i]], s0[lead[rest]], s1[lead[rest]])
-            for j in rest[d <= MAY_DIFFER + 2 * near].tolist():
+            for j in rest[d <= MAY_DIFFER + wide[i] + wide[rest]].tolist():
                 if forest.root(leaders[i]) == forest.root(leaders[j]):
                     continue
                 small, large = sorted((members[i], members[j]), key=len)

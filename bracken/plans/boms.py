@@ -129,7 +129,7 @@ ORACLE_SQL |= {
     "bom_drift_flags": _DRIFT + "SELECT coalesce(bool_or(new_risk = 'CRITICAL' AND (kind = 'added' OR risk_changed)), false) AS risk_increased, coalesce(bool_or(hash_changed), false) AS hash_drifted, count(*) AS n_rows FROM r",
     "report_top": _ARTIFACTS + "SELECT name, severity, issue, framework FROM a ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 WHEN 'CLEAN' THEN 0 ELSE -1 END DESC, name LIMIT 10",
     "scan_gate": _ARTIFACTS + "SELECT coalesce(max(score), 0) AS highest_risk, count(*) FILTER (score = 3) AS n_critical, CASE WHEN max(score) >= 3 THEN 2 ELSE 0 END AS exit_code, CASE count(DISTINCT lower(framework)) WHEN 0 THEN 'none' WHEN 1 THEN min(lower(framework)) ELSE 'mixed' END AS model_format FROM a",
-    "unique_identifiers": "SELECT p_partkey, CASE WHEN nth = 1 THEN base ELSE base || '-' || (nth - 1) END AS spdx_id FROM (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS nth FROM (SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9.-]+', '-', 'g') AS base FROM part))",
+    "unique_identifiers": "SELECT p_partkey, CASE WHEN nth = 1 THEN base ELSE base || '-' || nth END AS spdx_id FROM (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS nth FROM (SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9.-]', '-', 'g') AS base FROM part))",
     "target_classes": "SELECT CASE WHEN url LIKE 'hf://%' THEN 'huggingface' WHEN url LIKE 'https://%' THEN 'https' WHEN url LIKE 'http://%' THEN 'http' ELSE 'local' END AS target_class, count(*) AS n FROM pages GROUP BY 1",
     "escaping_paths": "SELECT page_id, page_id % 4 <> 1 AS escapes FROM pages",
     "failure_streaks": """

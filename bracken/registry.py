@@ -9,17 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bracken.plans import boms
+from bracken.plans import artifacts, boms
 
 FLAGSHIP = "severity_summary"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(boms.QUERIES)
+    return boms.QUERIES | artifacts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(boms.ORACLE_SQL)
+    return boms.ORACLE_SQL | artifacts.ORACLE_SQL
 
 
 _shipped: set[str] = set()

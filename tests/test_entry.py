@@ -17,7 +17,7 @@ def spark():
     return SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     db = duckdb.connect()
     for p in Path(SF).iterdir():

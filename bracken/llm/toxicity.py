@@ -168,7 +168,6 @@ def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
     flag = np.zeros(n, bool)
     flag[word_of[np.flatnonzero(odd & ~kit._SPACE[buf])]] = True
     size = w.end - w.start
-    flag &= size <= 64  # a longer run of signs is not a word
     out = []
     raw = buf.tobytes()
     for i in np.flatnonzero(flag).tolist():
@@ -280,31 +279,21 @@ def fit_model(texts, labels, counts) -> dict:
     if len(y) < 10 or y.min() == y.max():
         return none
     channel = Channel(counts)
-    parts, at = [], 0
+    parts, at, before = [], 0, 0
     for part in kit.slices([pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts], pa.large_string())], ["text"])]):
         buf, off = kit.utf8(part.column(0))
         row, w, g, of = _features(buf, off, channel)
-        parts.append((row + at, w, g, row[of] + at))
+        parts.append((row + at, w, g, of + before))
         at += len(off) - 1
-    row, w, g, grow = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    train = np.arange(len(y)) % 4 != 0
-    a, b = train[row], train[grow]
-    first = {"words": _lexicon(w[a], row[a], y * train), "grams": _lexicon(g[b], grow[b], y * train)}
-
-    # Evidence by the first lexicon on rows that it did not see sets the function of evidence.
-    def rows_of(model):
-        fw, fg = Filter(*model["words"]), Filter(*model["grams"])
-        top, total = np.zeros(len(y)), np.zeros(len(y))
-        for hashes, r, f in ((w, row, fw), (g, grow, fg)):
-            e = f(hashes)
-            hit = np.flatnonzero(e)
-            np.maximum.at(top, r[hit], e[hit])
-            np.add.at(total, r[hit], e[hit])
-        return top, total
-
-    top, total = rows_of(first)
-    held = ~train
-    z = top[held] + np.log1p(total[held])
+        before += len(w)
+    row, w, g, of = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    grow = row[of]
+    # The first lexicon comes from three rows of four; its evidence on the fourth sets the function of evidence.
+    held = np.arange(len(y)) % 4 == 0
+    seen = np.where(held, -1, y)
+    a, b = ~held[row], ~held[grow]
+    first = (_lexicon(w[a], row[a], seen), _lexicon(g[b], grow[b], seen))
+    z = _evidence(len(y), (row, w, g, of), *(Filter(*f) for f in first)).sum(1)[held]
     return {"words": _lexicon(w, row, y), "grams": _lexicon(g, grow, y), "knots": isotonic(z, (y[held] == 1).astype(float))}
 
 

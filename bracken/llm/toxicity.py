@@ -205,8 +205,7 @@ def _features(buf, off, channel: Channel):
     return row[start] if len(start) else start, words, g[at], word_of
 
 
-def _lexicon(h, row, y, least: int = 4, odds: float = 3.5):
-    """Sorted hashes and weights of features that come mostly in toxic documents."""
+def _lexicon_of(h, row, y, least: int, odds: float):
     o = np.lexsort((row, h))
     h, row = h[o], row[o]
     new = np.ones(len(h), bool)
@@ -223,6 +222,23 @@ def _lexicon(h, row, y, least: int = 4, odds: float = 3.5):
     return h[cut[keep]], lo[keep]
 
 
+def _lexicon(parts, y, least: int = 4, odds: float = 3.5):
+    """Sorted hashes and weights of features that come mostly in toxic documents.
+
+    parts: (hashes, rows) pairs; rows of y = -1 do not count. Done in 16 ranges of hashes, so that sorting takes little.
+    """
+    found = []
+    for s in range(16):
+        hs, rows = [], []
+        for h, row in parts:
+            at = np.flatnonzero((h >> np.uint64(60)) == s)
+            at = at[y[row[at]] >= 0]
+            hs.append(h[at])
+            rows.append(row[at])
+        found.append(_lexicon_of(np.concatenate(hs), np.concatenate(rows), y, least, odds))
+    return np.concatenate([h for h, _ in found]), np.concatenate([w for _, w in found])
+
+
 class Filter:
     """Weights by hash, with a bitmap in front."""
 
@@ -279,22 +295,23 @@ def fit_model(texts, labels, counts) -> dict:
     if len(y) < 10 or y.min() == y.max():
         return none
     channel = Channel(counts)
-    parts, at, before = [], 0, 0
+    words, grams, kept, at = [], [], [], 0
+    held = np.arange(len(y)) % 4 == 0
     for part in kit.slices([pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts], pa.large_string())], ["text"])]):
         buf, off = kit.utf8(part.column(0))
         row, w, g, of = _features(buf, off, channel)
-        parts.append((row + at, w, g, of + before))
+        words.append((w, (row + at).astype(np.int32)))
+        grams.append((g, (row[of] + at).astype(np.int32)))
+        # Of held rows, which gram is in which word is kept too.
+        mine = held[at + np.arange(len(off) - 1)]
+        a, b = mine[row], mine[row[of]]
+        kept.append((mine, row[a], w[a], g[b], (np.cumsum(a) - 1)[of[b]].astype(np.int32)))
         at += len(off) - 1
-        before += len(w)
-    row, w, g, of = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    grow = row[of]
     # The first lexicon comes from three rows of four; its evidence on the fourth sets the function of evidence.
-    held = np.arange(len(y)) % 4 == 0
     seen = np.where(held, -1, y)
-    a, b = ~held[row], ~held[grow]
-    first = (_lexicon(w[a], row[a], seen), _lexicon(g[b], grow[b], seen))
-    z = _evidence(len(y), (row, w, g, of), *(Filter(*f) for f in first)).sum(1)[held]
-    return {"words": _lexicon(w, row, y), "grams": _lexicon(g, grow, y), "knots": isotonic(z, (y[held] == 1).astype(float))}
+    first = Filter(*_lexicon(words, seen)), Filter(*_lexicon(grams, seen))
+    z = np.concatenate([_evidence(len(mine), feats, *first).sum(1)[mine] for mine, *feats in kept])
+    return {"words": _lexicon(words, y), "grams": _lexicon(grams, y), "knots": isotonic(z, (y[held] == 1).astype(float))}
 
 
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = SAMPLE_ROWS) -> dict:

@@ -5,7 +5,9 @@ Everything works on whole texts, one bounded slice of a batch at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: idle workers are kept for later tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of about `most` bytes of text; a longer text makes a run of its own."""
     for batch in batches:
@@ -71,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        release()
 
 
 class Words:

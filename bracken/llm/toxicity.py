@@ -323,6 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = SA
         got = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         if got.num_rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_model(got["text"].to_pylist(), got["y"].to_pylist(), counts))])], ["model"])
+        kit.release()
 
     got = sample.mapInArrow(fit, "model binary").collect()
     return pickle.loads(got[0].model) if got else fit_model([], [], counts)

@@ -3,15 +3,19 @@
 A page's token stream is its tags and texts. The pages of a host are aligned: streams are folded (a group that repeats side
 by side becomes one repeated group) and merged one after another into a wrapper; where the wrapper and a stream disagree,
 what only one of them has becomes an optional group, and a text becomes a slot. A wrapper is a list of nodes: a tag, the
-slot `#`, and groups `(kind, nodes)` with kind `+` (repeated) or `?` (optional). It has no alternatives.
+slot `#`, a fixed text `=key`, and groups `(kind, nodes)` with kind `+` (repeated) or `?` (optional). It has no
+alternatives.
 
+A text that stands at the same place among its open tags on nearly all different pages of a host (FIXED_SHARE, at least
+LEAST_PAGES pages) is fixed: it is a token of the wrapper like a tag is, and is never main text. All other texts are slots.
 Every slot gets its role from the wrapper's tags around it: main text lies in the article (or main element, or the body if
 no page of the host has either), outside menus, headers, footers, sidebars, notices, adverts, forms, scripts and
-comments. Extraction looks a text's place among its open tags up in the host's slots; a place that no wrapper has (a page
-that was not in the fit) gets its role by the same rule.
+comments. Extraction looks a text up in the host's fixed texts, then its place among its open tags in the host's slots; a
+place that no wrapper has (a page that was not in the fit) gets its role by the same rule.
 
-The fit sees every page: distinct folded streams are counted per host and salt before any are gathered, merged per salt,
-and the salts' wrappers merged per host; a merge holds one wrapper and one stream.
+The fit sees every page: different streams are counted per host, texts are counted over them, and distinct folded streams
+are counted per host and salt before any are gathered, merged per salt, and the salts' wrappers merged per host; a merge
+holds one wrapper and one stream.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; markup that breaks off is read as
 far as it goes; repeated rows give equal results; extra columns are ignored; an empty table gives no rows.
@@ -19,7 +23,9 @@ far as it goes; repeated rows give equal results; extra columns are ignored; an
 
 from __future__ import annotations
 
+import base64
 import difflib
+import hashlib
 import html as entities
 import json
 import re
@@ -30,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import _kit as kit
 
 SALTS = 8
+#: A host's text is fixed from this share of its different pages on, if it has so many. Two pages alike may be near copies.
+FIXED_SHARE, LEAST_PAGES = 0.9, 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -102,25 +110,69 @@ def texts(page: str):
             block += 1
 
 
+def shown(parts) -> str:
+    """A block's text as it is shown: character references read, white space as one blank."""
+    return " ".join(entities.unescape("".join(parts)).split())
+
+
+def key(path: tuple[str, ...], text: str) -> str:
+    """Stands for a text at its place among its open tags."""
+    digest = hashlib.blake2b("\0".join((*path, text)).encode("utf-8", "surrogatepass"), digest_size=6).digest()
+    return base64.urlsafe_b64encode(digest).decode()
+
+
 def stream(page: str) -> list[str]:
-    """The page's tokens: `<name`, `>name` and `#` for text that is not blank."""
-    out = []
+    """The page's tokens: `<name`, `>name` and `#key` for the text of a block that is not blank."""
+    out: list[str] = []
+    blocks: dict[int, list] = {}
+    for path, block, text in texts(page):
+        blocks.setdefault(block, [path, []])[1].append(text)
+    keys = {b: key(path, text) for b, (path, parts) in blocks.items() if (text := shown(parts))}
+    block = 0
     for kind, name, text in events(page):
-        if kind == "text":
-            if text.strip() and (not out or out[-1] != "#"):
-                out.append("#")
-        elif kind == "open":
-            out.append("<" + name)
-        elif kind == "close":
-            out.append(">" + name)
+        if kind in ("text", "void") or kind == "break" and name == "br":
+            continue
+        if block in keys:
+            out.append("#" + keys[block])
+        block += 1
+        if kind != "break":
+            out.append(("<" if kind == "open" else ">") + name)
+    if block in keys:
+        out.append("#" + keys[block])
     return out
 
 
-def fold(nodes: list, longest: int = 12) -> list:
+def told(tokens: list[str], fixed) -> list[str]:
+    """The tokens with `=key` for texts that are fixed and the slot `#` for others."""
+    out: list[str] = []
+    for t in tokens:
+        t = t if t[0] != "#" else "=" + t[1:] if t[1:] in fixed else "#"
+        if t != "#" or not out or out[-1] != "#":
+            out.append(t)
+    return out
+
+
+def _periods(nodes: list) -> set[int]:
+    """Sizes that repeated groups may have: how far equal nodes are from each other, and small ones."""
+    last: dict = {}
+    out = set(range(1, 13))
+    for i, x in enumerate(nodes):
+        if x in last:
+            out.add(i - last[x])
+        last[x] = i
+    return out
+
+
+def fold(nodes: list) -> list:
     """Groups that repeat side by side, shortest first, become repeated groups."""
-    for size in range(1, longest + 1):
+    size = 0
+    while size := min((x for x in _periods(nodes) if size < x <= len(nodes) // 2), default=0):
         out, i = [], 0
         while i < len(nodes):
+            if i + size >= len(nodes) or nodes[i] != nodes[i + size]:
+                out.append(nodes[i])
+                i += 1
+                continue
             group = nodes[i : i + size]
             bare = [group[0]] if size == 1 and isinstance(group[0], tuple) else group
             k = i + size
@@ -175,9 +227,10 @@ def merge(wrapper: list, other: list) -> list:
     return fold(out)
 
 
-def slots(wrapper) -> set[tuple[str, ...]]:
-    """Paths of open block elements at the wrapper's slots."""
+def slots(wrapper) -> tuple[set[tuple[str, ...]], set[str]]:
+    """Paths of open block elements at the wrapper's texts, and the keys of its fixed texts."""
     found: set = set()
+    fixed: set = set()
 
     def walk(nodes, stack):
         for x in nodes:
@@ -186,8 +239,10 @@ def slots(wrapper) -> set[tuple[str, ...]]:
                 walk(x[1], inner)
                 if x[0] == "+":
                     stack[:] = inner
-            elif x == "#":
+            elif x[0] in "#=":
                 found.add(tuple(stack))
+                if x[0] == "=":
+                    fixed.add(x[1:])
             elif x[0] == "<":
                 while stack and x[1:].rstrip("!") in ENDS.get(stack[-1].rstrip("!"), ()):
                     stack.pop()
@@ -199,7 +254,7 @@ def slots(wrapper) -> set[tuple[str, ...]]:
                         break
 
     walk(wrapper, [])
-    return found
+    return found, fixed
 
 
 def is_main(path: tuple[str, ...], main: str | None) -> bool:
@@ -214,19 +269,19 @@ def main_element(paths) -> str | None:
     return next((m for m in MAIN if m in names), None)
 
 
-def extract(page: str, known: dict[tuple, bool] | None = None, main: str | None = None) -> str:
-    """The page's main text: blocks in order, one to a line."""
+def extract(page: str, known: dict[tuple, bool] | None = None, main: str | None = None, fixed=frozenset()) -> str:
+    """The page's main text: blocks in order, one to a line, without the host's fixed texts."""
     got = list(texts(page))
     own = main_element(p for p, _, t in got if t.strip()) or (main if main and any(main in p for p, _, _ in got) else None)
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, tuple[tuple, list[str]]] = {}
     for path, block, text in got:
         good = known.get(path) if known is not None and own == main else None
         if good is None:
             good = is_main(path, own)
         if good:
-            blocks.setdefault(block, []).append(text)
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks.values())
-    return "\n".join(x for x in lines if x)
+            blocks.setdefault(block, (path, []))[1].append(text)
+    lines = ((path, shown(parts)) for path, parts in blocks.values())
+    return "\n".join(x for path, x in lines if x and not (fixed and key(path, x) in fixed))
 
 
 def _host(url):
@@ -242,10 +297,23 @@ def learn(pages: DataFrame) -> DataFrame:
 
     def streams(batches):
         for part in kit.slices(batches, "html"):
+            seen = {(host, " ".join(stream(page or ""))) for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in (0, 1)], ["host", "tokens"])
+
+    def keys(batches):
+        for b in batches:
+            for part in kit.slices([b], "tokens"):
+                got = [(h, {x[1:] for x in t.split(" ") if x[:1] == "#"}) for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                # A page without texts says nothing; each other one counts once under the empty key.
+                flat = [(h, k) for h, ks in got if ks for k in ("", *ks)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in (0, 1)], ["host", "key"])
+
+    def folded(batches):
+        for part in kit.slices(batches, "tokens"):
             seen: dict[tuple, int] = {}
-            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                key = (host, json.dumps(fold(stream(page or ""))))
-                seen[key] = seen.get(key, 0) + 1
+            for host, tokens, fixed in zip(*(part.column(k).to_pylist() for k in range(3))):
+                k = (host, json.dumps(fold(told(tokens.split(" ") if tokens else [], frozenset(fixed or ())))))
+                seen[k] = seen.get(k, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "wrapper", "n"])
 
     def merged(t: pa.Table) -> pa.Table:
@@ -257,7 +325,12 @@ def learn(pages: DataFrame) -> DataFrame:
         return pa.table({"host": [t["host"][0].as_py()], "wrapper": [json.dumps(wrapper)], "n": pa.array([sum(x[0] for x in rows)], pa.int64())})
 
     schema = "host string, wrapper string, n long"
-    counted = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(streams, schema).groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
+    different = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(streams, "host string, tokens string").distinct()
+    counts = different.mapInArrow(keys, "host string, key string").groupBy("host", "key").agg(F.count("*").alias("n"))
+    of = counts.where("key = ''").select("host", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    often = counts.where("key != ''").where(F.col("n") >= FIXED_SHARE * LEAST_PAGES)
+    fixed = often.join(of, "host").where(F.col("n") >= FIXED_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("fixed"))
+    counted = different.join(fixed, "host", "left").select("host", "tokens", "fixed").mapInArrow(folded, schema).groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
     salted = counted.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     return salted.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "wrapper")
 
@@ -274,9 +347,9 @@ def extract_pages(pages: DataFrame, learnt: DataFrame) -> DataFrame:
                 if got is None:
                     if len(memory) > 200:
                         memory.clear()
-                    paths = slots(_nodes(json.loads(wrapper))) if wrapper else set()
+                    paths, fixed = slots(_nodes(json.loads(wrapper))) if wrapper else (set(), set())
                     main = main_element(paths)
-                    got = memory[wrapper] = ({p: is_main(p, main) for p in paths}, main)
+                    got = memory[wrapper] = ({p: is_main(p, main) for p in paths}, main, fixed)
                 text = extract(page or "", *got)
                 out.append(text)
                 size.append(len(text))

@@ -204,3 +204,17 @@ def test_wrappers(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert not jaccard.jaccard_classes(none).count() and not substring.dedup_texts(none).count() and not packing.pack(packing.pieces(none)).count()
+
+
+def test_wrappers_fixed_texts(spark):
+    # The disclaimer has no listed tag or class; it stands on every page of its host, in a run of paragraphs like it.
+    page = "<body><div><h1>Title {0}</h1><p>first {0}</p><p>Terms &amp; <b>conditions</b> apply.</p><p>second {0}</p></div></body>"
+    rows = [(i, f"http://t.a/{i}", page.format(i)) for i in range(4)] + [(9, "http://u.a/", page.format(9)), (10, "http://u.a/copy", page.format(9))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learnt = wrappers.learn(pages)
+    got = {r.page_id: r.text for r in wrappers.extract_pages(pages, learnt).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\nfirst {i}\nsecond {i}" for i in range(4)]
+    assert got[9] == got[10] == "Title 9\nfirst 9\nTerms & conditions apply.\nsecond 9"  # copies of one page tell nothing
+    assert "=" in {r.host: r.wrapper for r in learnt.collect()}["t.a"]
+    group = [c for c in "abcdefghijklmnop"]
+    assert wrappers.fold(group * 3) == [("+", tuple(group))]

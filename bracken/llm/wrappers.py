@@ -47,19 +47,24 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CHROME = frozenset("nav header footer aside form script style noscript template svg iframe textarea button select option head title object embed canvas audio video dialog menu".split())
 MARKS = frozenset("ad ads advert adverts advertisement banner cookie cookies consent notice notices sidebar comment comments menu nav navbar navigation header footer promo sponsor sponsored related share social newsletter subscribe popup modal breadcrumb breadcrumbs pagination widget alert".split())
 MAIN = ("article", "main")
+#: Class words on these say how the page looks, not that its text is none.
+UNMARKED = frozenset(["html", "body", *MAIN])
 #: An open element of the first kind ends when one of the second kind begins.
 ENDS = {"p": frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure address details fieldset".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
 def _marked(tag: str) -> bool:
+    """Whether one of the tag's class names, its id or its role is, as a whole, a listed word."""
     if "=" not in tag:
         return False
-    words = re.findall(r"[a-z]+", " ".join(x for m in _MARK.findall(tag) for x in m).lower())
-    return any(w in MARKS for w in words)
+    return any(w in MARKS for m in _MARK.findall(tag) for w in " ".join(m).lower().split())
 
 
 def events(page: str):
-    """(kind, name, text) of a page: open, close, text, break; inline elements and comments are left out."""
+    """(kind, name, text) of a page: open, close, text, break, void, and begin and end of inline elements; no comments.
+
+    A marked element's name ends in `!`.
+    """
     for m in _TOKEN.finditer(page):
         t = m.group()
         if t[0] != "<" or t == "<":
@@ -73,33 +78,49 @@ def events(page: str):
             continue
         found = _NAME.match(t)
         name = found.group(1).lower() if found else ""
-        if name in INLINE or not name:
+        if not name:
             continue
-        if t[1] == "/":
+        if name in INLINE:
+            yield ("end", name, "") if t[1] == "/" else ("begin", name + "!" * _marked(t), "")
+        elif t[1] == "/":
             yield "close", name, ""
         elif name in VOID:
             yield "break" if name in ("br", "hr") else "void", name, ""
         else:
-            shown = name + ("!" if _marked(t) else "")
-            yield "open", shown, ""
-            if t.endswith("/>") and name not in ENDS and "!" not in shown:
+            named = name + ("!" if name not in UNMARKED and _marked(t) else "")
+            yield "open", named, ""
+            if t.endswith("/>") and name not in ENDS and "!" not in named:
                 yield "close", name, ""
 
 
 def texts(page: str):
-    """(path of open block elements, block number, text) of every text; a path's chrome elements end in `!`."""
+    """(path of open block elements, block number, text) of every text; a path's chrome elements end in `!`.
+
+    The path of a text in a marked inline element ends in that element.
+    """
     stack: list[str] = []
+    inline: list[tuple[str, int]] = []  # open inline elements from a marked one on, and how many blocks were open
     block = 0
     for kind, name, text in events(page):
-        if kind == "text":
-            yield tuple(stack), block, text
-        elif kind == "break":
+        if kind == "begin":
+            if inline or name[-1] == "!":
+                inline.append((name, len(stack)))
+            continue
+        if kind == "end":
+            for i in range(len(inline) - 1, -1, -1):
+                if inline[i][0].rstrip("!") == name:
+                    del inline[i:]
+                    break
+            continue
+        if kind in ("text", "break"):
             block += name == "hr"
-            yield tuple(stack), block, " "
+            yield (*stack, inline[0][0]) if inline else tuple(stack), block, text or " "
         elif kind == "open":
             plain = name.rstrip("!")
             while stack and plain in ENDS.get(stack[-1].rstrip("!"), ()):
                 stack.pop()
+            while inline and inline[-1][1] > len(stack):
+                inline.pop()
             stack.append(name)
             block += 1
         elif kind == "close":
@@ -107,9 +128,16 @@ def texts(page: str):
                 if stack[i].rstrip("!") == name:
                     del stack[i:]
                     break
+            while inline and inline[-1][1] > len(stack):  # an inline element ends with its block at the latest
+                inline.pop()
             block += 1
 
 
+def _inline(path: tuple[str, ...]) -> bool:
+    """Whether a text of that path is in a marked inline element."""
+    return bool(path) and path[-1][-1] == "!" and path[-1][:-1] in INLINE
+
+
 def shown(parts) -> str:
     """A block's text as it is shown: character references read, white space as one blank."""
     return " ".join(entities.unescape("".join(parts)).split())
@@ -126,11 +154,12 @@ def stream(page: str) -> list[str]:
     out: list[str] = []
     blocks: dict[int, list] = {}
     for path, block, text in texts(page):
-        blocks.setdefault(block, [path, []])[1].append(text)
+        if not _inline(path):
+            blocks.setdefault(block, [path, []])[1].append(text)
     keys = {b: key(path, text) for b, (path, parts) in blocks.items() if (text := shown(parts))}
     block = 0
     for kind, name, text in events(page):
-        if kind in ("text", "void") or kind == "break" and name == "br":
+        if kind in ("text", "void", "begin", "end") or kind == "break" and name == "br":
             continue
         if block in keys:
             out.append("#" + keys[block])
@@ -257,11 +286,20 @@ def slots(wrapper) -> tuple[set[tuple[str, ...]], set[str]]:
     return found, fixed
 
 
-def is_main(path: tuple[str, ...], main: str | None) -> bool:
-    """Whether a text there is main text, given the element that holds the host's main texts (None: the body)."""
-    if any(x.endswith("!") or x in CHROME for x in path):
+def is_main(path: tuple[str, ...], main: str | None, inside: bool = False) -> bool:
+    """Whether a text there is main text, given the element that holds the host's main texts (None: the body).
+
+    inside: marks of the elements around that one do not count.
+    """
+    at = path.index(main) if main in path else -1
+    if any(x in CHROME or x[-1] == "!" and (x[:-1] in CHROME or not inside or i > at) for i, x in enumerate(path)):
         return False
-    return main in path if main else True
+    return at >= 0 if main else True
+
+
+def lies_inside(paths, main: str | None) -> bool:
+    """Whether all main elements of the paths lie in marked ones, so that such marks say nothing about them."""
+    return main is not None and not any(main in p and not any(x[-1] == "!" for x in p[: p.index(main)]) for p in paths)
 
 
 def main_element(paths) -> str | None:
@@ -274,10 +312,11 @@ def extract(page: str, known: dict[tuple, bool] | None = None, main: str | None
     got = list(texts(page))
     own = main_element(p for p, _, t in got if t.strip()) or (main if main and any(main in p for p, _, _ in got) else None)
     blocks: dict[int, tuple[tuple, list[str]]] = {}
+    inside = lies_inside([p for p, _, t in got if t.strip()], own)
     for path, block, text in got:
         good = known.get(path) if known is not None and own == main else None
         if good is None:
-            good = is_main(path, own)
+            good = is_main(path, own, inside)
         if good:
             blocks.setdefault(block, (path, []))[1].append(text)
     lines = ((path, shown(parts)) for path, parts in blocks.values())
@@ -349,7 +388,8 @@ def extract_pages(pages: DataFrame, learnt: DataFrame) -> DataFrame:
                         memory.clear()
                     paths, fixed = slots(_nodes(json.loads(wrapper))) if wrapper else (set(), set())
                     main = main_element(paths)
-                    got = memory[wrapper] = ({p: is_main(p, main) for p in paths}, main, fixed)
+                    inside = lies_inside(paths, main)
+                    got = memory[wrapper] = ({p: is_main(p, main, inside) for p in paths}, main, fixed)
                 text = extract(page or "", *got)
                 out.append(text)
                 size.append(len(text))

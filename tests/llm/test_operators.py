@@ -218,3 +218,14 @@ def test_wrappers_fixed_texts(spark):
     assert "=" in {r.host: r.wrapper for r in learnt.collect()}["t.a"]
     group = [c for c in "abcdefghijklmnop"]
     assert wrappers.fold(group * 3) == [("+", tuple(group))]
+
+
+def test_wrappers_marks():
+    for tag in ('<body class="no-sidebar">{}', '<div id="page" class="content-with-sidebar">{}</div>', '<article class="post has-header comment-open">{}</article>', '<main class="widget-area">{}</main>'):
+        assert wrappers.extract(tag.format("<p>text</p>")) == "text", tag
+    for tag in ('<body class="sidebar">{}', '<article class="alert">{}</article>', '<main class="widget">{}</main>', '<div class="widget"><article>{}</article></div>'):
+        assert wrappers.extract(tag.format("<p>text</p>")) == "text", tag
+    assert wrappers.extract('<div class="wide ad">buy</div><p>text</p>') == "text"
+    assert wrappers.extract('<article><p>text</p></article><div class="comments"><article><p>me too</p></article></div>') == "text"
+    assert wrappers.extract('<p>one <span class="ad">buy <span>now</span> here</span>two <a class="share" href="/">tell</a></p><p>three</p>') == "one two\nthree"
+    assert wrappers.extract('<p>one <a class="share">tell</p><p>two</p>') == "one\ntwo"

@@ -1,12 +1,14 @@
 """Model files to facts (one Arrow pass over the bytes), then facts to verdicts (columns only).
 
-Input: DataFrame with `path` and `content`. Null content gives a row with `error`; empty content is read like any other.
+Input: DataFrame with `path` and `content`, and perhaps `cut` and `sha256`: a file whose content is cut is read from its
+path, mapped, to its end; if that cannot be done, it is marked incomplete, and no incomplete file is LOW. Null content gives a row with `error`; empty content is read like any other.
 Files that no extension and no content claims are left out. Equal files give equal rows; further columns are not carried.
 """
 
 from __future__ import annotations
 
 import hashlib
+import mmap
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,7 +57,7 @@ def _text_like(data: bytes) -> bool:
 def _container(data: bytes) -> str | None:
     from bracken.functions.containers import CONTAINERS
 
-    return next((n for n, magic in CONTAINERS.items() if data.startswith(bytes.fromhex(magic))), None)
+    return next((n for n, magic in CONTAINERS.items() if data[: len(magic) // 2] == bytes.fromhex(magic)), None)
 
 
 def _pytorch(data: bytes, out: dict, every_member: bool) -> None:
@@ -68,9 +70,13 @@ def _pytorch(data: bytes, out: dict, every_member: bool) -> None:
         out["is_text"], out["lint"] = _text_like(data), pickles.lint(data)
         return
     out["container"] = "zip"
-    held = [m for m in archives.members(data) if m[0].endswith(".pkl")]
-    for name, body, note in held if every_member else held[:1]:
+    held = False
+    for name, body, note in archives.members(data, wanted=".pkl"):
+        if held and not every_member:
+            break
+        held = True
         out["note"] = note or out["note"]
+        out["incomplete"] |= note == archives.CUT
         if body is None:
             out["member_unread"] = True
             continue
@@ -78,7 +84,7 @@ def _pytorch(data: bytes, out: dict, every_member: bool) -> None:
         out["imports"] += _rows(found)
         out["incomplete"] |= cut
         out["lint"] += pickles.lint(body)
-    out["carries_pickle"] = bool(held)
+    out["carries_pickle"] = held
 
 
 def _variant(data: bytes, out: dict) -> None:
@@ -99,7 +105,7 @@ def _variant(data: bytes, out: dict) -> None:
             if body is None:
                 out["incomplete"] = True
             else:
-                look(body)
+                look(body, note != archives.CUT)
             out["note"] = note or out["note"]
         return
     old = archives.old_joblib(data)
@@ -120,8 +126,9 @@ def _keras(data: bytes, out: dict) -> None:
     config = None
     if archives.is_zip(data):
         out["container"] = "zip"
-        for name, body, note in archives.members(data):
+        for name, body, note in archives.members(data, wanted="config.json"):
             if name == "config.json" and body is not None:
+                out["incomplete"] |= note == archives.CUT
                 try:
                     config = json.loads(body)
                 except ValueError:
@@ -155,8 +162,29 @@ def _onnx(data: bytes, out: dict) -> None:
     out["custom_ops"] = list(dict.fromkeys(f"{d}.{op}" for d, op in got["nodes"] if d not in models.STANDARD_DOMAINS))
 
 
-def look(path: str, data: bytes | None, every_member: bool = False) -> dict | None:
-    """The facts of one file; None if nothing claims it."""
+def _mapped(path: str):
+    """The whole file, mapped; None if it cannot be."""
+    try:
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    except (OSError, ValueError):
+        return None
+
+
+def look(path: str, data: bytes | None, every_member: bool = False, cut: bool = False, sha256: str | None = None) -> dict | None:
+    """The facts of one file; None if nothing claims it. cut: `data` is but the beginning of the file at `path`."""
+    whole = _mapped(path) if cut else None
+    try:
+        out = _look(path, data if whole is None else whole, every_member, cut and whole is None)
+    finally:
+        if whole is not None:
+            whole.close()
+    if out is not None and cut and out["inspector"]:
+        out["sha256"] = sha256 or (out["sha256"] if whole is not None else None)
+    return out
+
+
+def _look(path: str, data: bytes | None, every_member: bool, cut: bool) -> dict | None:
     name = path.replace("\\", "/").rsplit("/", 1)[-1]
     out: dict = dict.fromkeys(x.strip().split(" ")[0] for x in _columns())
     out |= {k: [] for k in ("imports", "findings", "lambda_layers", "templates", "custom_ops", "external", "dtypes", "lint")}
@@ -165,6 +193,8 @@ def look(path: str, data: bytes | None, every_member: bool = False) -> dict | No
     if data is None:
         return out | {"error": "unreadable"}
     kind = _route(name, data)
+    if kind is None and cut and pickles.head_is_pickle(data)[1]:
+        kind = "variant"  # the rest of the file might show a pickle
     if kind is None:
         return None
     out |= {"inspector": kind, "sha256": hashlib.sha256(data).hexdigest(), "framework": _NAMES.get(kind)}
@@ -178,6 +208,7 @@ def look(path: str, data: bytes | None, every_member: bool = False) -> dict | No
         out |= {"tensors": got["tensors"], "dtypes": got["dtypes"], "license": got["license"]} if got else {"error": "Invalid Header"}
     elif kind in ("gguf", "keras", "onnx"):
         {"gguf": _gguf, "keras": _keras, "onnx": _onnx}[kind](data, out)
+    out["incomplete"] |= cut
     out["lint"] = [{"offset": a, "severity": b, "message": c} for a, b, c in out["lint"]]
     return out
 
@@ -201,12 +232,13 @@ def facts(files: DataFrame, every_member: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = [look(p.as_py() or "", c.as_py(), every_member) for p, c in zip(batch.column(0), batch.column(1))]
+            got = [look(p.as_py() or "", c.as_py(), every_member, bool(k.as_py()), s.as_py()) for p, c, k, s in zip(*batch.columns)]
             got = [g for g in got if g is not None]
             if got:
                 yield pa.RecordBatch.from_pylist(got, schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    more = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("cut", "boolean"), ("sha256", "string"))]
+    return files.select("path", "content", *more).mapInArrow(run, SCHEMA)
 
 
 def _named(prefix: str, items: Column) -> Column:
@@ -271,6 +303,7 @@ def judge(found: DataFrame, strict: bool = False) -> DataFrame:
         .when(kind == "onnx", onnx_label(t))
         .otherwise("LOW")
     )
+    risk = F.when(F.col("incomplete") & (risk == "LOW"), "MEDIUM (Scan Incomplete)").otherwise(risk)
     return rows.withColumn("risk_level", risk).withColumn("legal_status", verdicts.legal_status("license"))
 
 

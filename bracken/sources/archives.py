@@ -12,8 +12,11 @@ import zlib
 from io import BytesIO
 
 MEMBER_LIMIT = 10 << 20
+#: Longer members are read to the end unless they are packed more tightly than this.
+MOST_PACKED = 50
 LIMIT = 16 << 20
 MOST_MEMBERS = 512
+CUT = "member_cut"
 
 
 def _inflate(raw: bytes, method: int, limit: int) -> bytes | None:
@@ -42,43 +45,53 @@ def local_members(data: bytes, most: int = 32) -> list[tuple[str, bytes]]:
     return out
 
 
-def members(data: bytes, limit: int = MEMBER_LIMIT, most: int = MOST_MEMBERS):
+def _file(data):
+    """The bytes as a file; a mapped file is one."""
+    return BytesIO(data) if isinstance(data, (bytes, bytearray)) else data
+
+
+def members(data: bytes, limit: int = MEMBER_LIMIT, most: int = MOST_MEMBERS, wanted: str = ""):
     """(name, bytes or None, note) of each member; checksums and header names that disagree do not hide a member.
 
-    More members than `most` end with one row ("", None, "members_capped").
+    Members whose names do not end in `wanted` are not read. One that is longer than `limit` and packed more tightly than
+    MOST_PACKED ends there, with the note CUT. More members than `most` end with one row ("", None, "members_capped").
     """
     try:
-        z = zipfile.ZipFile(BytesIO(data))
+        z = zipfile.ZipFile(_file(data))
     except Exception:
         for name, got in local_members(data):
-            yield name, got, "recovered"
+            if name.endswith(wanted):
+                yield name, got, CUT if got is not None and len(got) >= MEMBER_LIMIT else "recovered"
         return
-    for i, info in enumerate(z.infolist()):
+    for i, info in enumerate(x for x in z.infolist() if x.filename.endswith(wanted)):
         if i == most:
             yield "", None, "members_capped"
             return
         try:
             with z.open(info) as f:
-                yield info.filename, f.read(limit), None
+                own = max(limit, MOST_PACKED * info.compress_size)
+                body = f.read(own)
+                more = f.read(1)
+            yield info.filename, body, CUT if more else None
         except Exception as problem:
             at = info.header_offset
-            got = None
+            got, own = None, max(limit, MOST_PACKED * info.compress_size)
             if data[at : at + 4] == b"PK\x03\x04":
                 name_size, extra = struct.unpack_from("<HH", data, at + 26)
                 body = at + 30 + name_size + extra
-                got = _inflate(data[body : body + info.compress_size], info.compress_type, limit)
-            yield info.filename, got, f"raw read: {type(problem).__name__}"
+                got = _inflate(data[body : body + info.compress_size], info.compress_type, own)
+            yield info.filename, got, CUT if got is not None and len(got) >= own else f"raw read: {type(problem).__name__}"
 
 
 def is_zip(data: bytes) -> bool:
-    return zipfile.is_zipfile(BytesIO(data))
+    return zipfile.is_zipfile(_file(data))
 
 
 def compression_of(data: bytes) -> tuple[str | None, bool]:
     from bracken.functions.containers import COMPRESSIONS
 
     for label, (magic, readable) in COMPRESSIONS.items():
-        if data.startswith(bytes.fromhex(magic)):
+        if data[: len(magic) // 2] == bytes.fromhex(magic):
             return label, readable
     if len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
         return "zlib", True
@@ -130,7 +143,7 @@ def _has_objects(descr: object) -> bool:
 
 def npy(data: bytes) -> dict | None:
     """version, dtype, shape, object_dtype and offset of a NumPy file's header; None for other bytes."""
-    if not data.startswith(b"\x93NUMPY") or len(data) < 12:
+    if data[:6] != b"\x93NUMPY" or len(data) < 12:
         return None
     wide = data[6] >= 2
     size = int.from_bytes(data[8 : 12 if wide else 10], "little")

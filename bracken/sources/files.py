@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,13 +50,18 @@ class _Reader(DataSourceReader):
             try:
                 with open(path, "rb") as f:
                     data = f.read(self.limit)
-                    yield path, os.path.getsize(path), data, len(data) < os.path.getsize(path), None
+                    digest, size = hashlib.sha256(data), len(data)
+                    while more := f.read(1 << 20):
+                        digest.update(more)
+                        size += len(more)
+                    yield path, size, data, len(data) < size, digest.hexdigest(), None
             except OSError as problem:
-                yield path, None, None, None, str(problem)
+                yield path, None, None, None, None, str(problem)
 
 
 class ArtifactFiles(DataSource):
-    """`spark.read.format("artifact_files").load(dir)`: path, length, content (first `limit` bytes), cut, error.
+    """`spark.read.format("artifact_files").load(dir)`: path, length, content (first `limit` bytes), cut, sha256 (of
+    the whole file), error.
 
     A file that cannot be read is a row with `error`; a missing target fails the plan.
     """
@@ -65,7 +71,7 @@ class ArtifactFiles(DataSource):
         return "artifact_files"
 
     def schema(self):
-        return "path string, length long, content binary, cut boolean, error string"
+        return "path string, length long, content binary, cut boolean, sha256 string, error string"
 
     def reader(self, schema):
         return _Reader(dict(self.options))

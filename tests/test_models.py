@@ -196,3 +196,27 @@ def test_protobuf_of_hostile_bytes():
     assert list(models.fields(b"\x0a\xff\x01ab"))[0][2] == b"ab"
     assert list(models.fields(b"\x00\x01")) == []
     assert models.gguf(gguf([("a", 9, struct.pack("<IQ", 8, 1 << 40))]))["truncated"]
+
+
+def test_files_above_the_read_limit(spark, tmp_path):
+    import hashlib
+    import os
+
+    pad = os.urandom(17 << 20)
+    late = b"\x80\x04B" + struct.pack("<I", len(pad)) + pad + b"0" + call("os", "system")[2:]
+    with zipfile.ZipFile(tmp_path / "big.pt", "w") as z:
+        z.writestr("archive/data/0", pad)
+        z.writestr("archive/data.pkl", call("os", "system"))
+    with zipfile.ZipFile(tmp_path / "late.pt", "w") as z:
+        z.writestr("archive/data.pkl", late)
+    for name in ("late.pkl", "late.unclaimed"):
+        (tmp_path / name).write_bytes(late)
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in inspect.scan(files.artifact_files(spark, str(tmp_path))).collect()}
+    assert len(rows) == 4
+    for name, r in rows.items():
+        assert "RCE Detected" in r.risk_level and r.sha256 == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest(), name
+    gone = inspect.look("/nowhere/late.pkl", late[: 16 << 20], cut=True, sha256="x")
+    assert gone["incomplete"] and gone["sha256"] == "x"
+    with zipfile.ZipFile(tmp_path / "bomb.pt", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("data.pkl", b"\x80\x04B" + struct.pack("<I", 24 << 20) + bytes(24 << 20) + b"0" + call("os", "system")[2:])
+    assert inspect.look("bomb.pt", (tmp_path / "bomb.pt").read_bytes())["incomplete"]

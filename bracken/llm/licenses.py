@@ -2,7 +2,7 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. The base phrases are found as runs of words. A rule
 is a regex over the words joined by blanks, with a label, a priority, a confidence and keywords; a text is matched against
-a rule only if it holds all of the rule's keywords. Detections are ordered by priority, then length; one that lies inside
+a rule only if it holds all of the rule's keywords as words, or as the beginning of a word if the keyword ends in `*`. Detections are ordered by priority, then length; one that lies inside
 the interval of an earlier one is suppressed, and what remains gives labels and score.
 
 Defined results: null counts as empty; no words give empty labels, score 0 and null places; equal texts give equal results;
@@ -26,15 +26,15 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: label: regexes of the name as words, each with the keyword that gates it.
 FAMILIES: dict[str, list[tuple[str, str]]] = {
-    "agpl": [(r"gnu affero general public licen[sc]e", "affero"), (r"agpl ?v?3?(?: 0)?", "agpl")],
-    "lgpl": [(r"gnu (?:lesser|library) general public licen[sc]e", "general"), (r"lgpl ?v?[23]?(?: [01])?", "lgpl")],
-    "gpl": [(r"gnu general public licen[sc]e", "general"), (r"gpl ?v?[123]?(?: 0)?", "gpl")],
+    "agpl": [(r"gnu affero general public licen[sc]e", "affero"), (r"agpl ?v?3?(?: 0)?", "agpl*")],
+    "lgpl": [(r"gnu (?:lesser|library) general public licen[sc]e", "general"), (r"lgpl ?v?[23]?(?: [01])?", "lgpl*")],
+    "gpl": [(r"gnu general public licen[sc]e", "general"), (r"gpl ?v?[123]?(?: 0)?", "gpl*")],
     "gfdl": [(r"gnu free documentation licen[sc]e", "documentation"), (r"gfdl", "gfdl")],
-    "apache": [(r"apache (?:software )?licen[sc]e", "apache"), (r"apache ?[12](?: [01])?", "apache")],
+    "apache": [(r"apache (?:software )?licen[sc]e", "apache"), (r"apache ?[12](?: [01])?", "apache*")],
     "mit": [(r"(?:the )?mit licen[sc]e", "mit"), (r"expat licen[sc]e", "expat")],
     "bsd": [(r"(?:new |modified |simplified |original )?bsd(?: [0234] clause)? licen[sc]e", "bsd"), (r"bsd [0234] clause", "bsd")],
-    "mpl": [(r"mozilla public licen[sc]e", "mozilla"), (r"mpl ?[12](?: [01])?", "mpl")],
-    "epl": [(r"eclipse public licen[sc]e", "eclipse"), (r"epl ?[12](?: 0)?", "epl")],
+    "mpl": [(r"mozilla public licen[sc]e", "mozilla"), (r"mpl ?[12](?: [01])?", "mpl*")],
+    "epl": [(r"eclipse public licen[sc]e", "eclipse"), (r"epl ?[12](?: 0)?", "epl*")],
     "cddl": [(r"common development and distribution licen[sc]e", "development"), (r"cddl(?: 1 [01])?", "cddl")],
     "cpl": [(r"common public licen[sc]e", "common")],
     "eupl": [(r"european union public licen[sc]e", "european"), (r"eupl(?: 1 [012])?", "eupl")],
@@ -45,7 +45,7 @@ FAMILIES: dict[str, list[tuple[str, str]]] = {
     "psf": [(r"python software foundation licen[sc]e", "python"), (r"psf licen[sc]e", "psf")],
     "php": [(r"php licen[sc]e", "php")],
     "ruby": [(r"ruby licen[sc]e", "ruby")],
-    "unlicense": [(r"(?:the )?unlicen[sc]e", "unlicense")],
+    "unlicense": [(r"(?:the )?unlicen[sc]e", "unlicen*")],
     "wtfpl": [(r"do what the \S+ you want to public licen[sc]e", "want"), (r"wtfpl", "wtfpl")],
     "cc0": [(r"cc0(?: 1 0)?(?: universal)?", "cc0"), (r"cc zero", "cc")],
     "cc-by-nc-nd": [(r"cc by nc nd(?: [1234] 0)?", "nd"), (r"attribution non ?commercial no ?derivatives?", "attribution")],
@@ -58,7 +58,7 @@ FAMILIES: dict[str, list[tuple[str, str]]] = {
     "ofl": [(r"(?:sil )?open font licen[sc]e", "font"), (r"ofl 1 1", "ofl")],
     "odbl": [(r"open (?:data commons open )?database licen[sc]e", "database"), (r"odbl", "odbl")],
     "odc-by": [(r"open data commons attribution licen[sc]e", "commons")],
-    "openrail": [(r"(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?", "openrail"), (r"responsible ai licen[sc]e", "responsible")],
+    "openrail": [(r"(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?", "open*"), (r"responsible ai licen[sc]e", "responsible")],
     "llama": [(r"llama [234](?: [123])? community licen[sc]e", "llama")],
     "gemma": [(r"gemma terms of use", "gemma")],
     "nc-research": [(r"non ?commercial research (?:use )?(?:only )?licen[sc]e", "research")],
@@ -133,7 +133,7 @@ def rules() -> tuple[Rule, ...]:
 
 @cache
 def _prepared():
-    words = sorted({k for r in rules() for k in r.keywords})
+    words = sorted({k for r in rules() for k in r.keywords if k[-1] != "*"})
     buf, off = kit.utf8(pa.array([" ".join(words)]))
     h = kit.Words(buf, off).hash
     base = []
@@ -146,6 +146,32 @@ def _prepared():
     return np.sort(h), by, base
 
 
+@cache
+def _prefixes() -> list[str]:
+    return sorted({k for r in rules() for k in r.keywords if k[-1] == "*"})
+
+
+def held_keywords(w: kit.Words) -> dict[int, set[str]]:
+    """The keywords that each row holds, of rows that hold any; `w`: lower-case words."""
+    held: dict[int, set] = {}
+    n = len(w.start)
+    if not n:
+        return held
+    keys, name_of, _ = _prepared()
+    i = np.minimum(np.searchsorted(keys, w.hash), len(keys) - 1)
+    gate = np.flatnonzero(keys[i] == w.hash)
+    for r, k in set(zip(w.doc[gate].tolist(), w.hash[gate].tolist())):
+        held.setdefault(r, set()).add(name_of[k])
+    size = w.end - w.start
+    for k in _prefixes():
+        at = np.flatnonzero(size >= len(k) - 1)
+        for j, c in enumerate(k[:-1].encode()):
+            at = at[w.buf[w.start[at] + j] == c]
+        for r in np.unique(w.doc[at]).tolist():
+            held.setdefault(r, set()).add(k)
+    return held
+
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -195,7 +221,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Base places, labels and score of every row."""
 
     def run(batches):
-        keys, name_of, base = _prepared()
+        _, _, base = _prepared()
         for part in kit.slices(batches):
             buf, off = kit.utf8(part.column(1))
             plain = _BLANK[buf]
@@ -218,11 +244,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     base_labels[r].add(label)
             labels, score = [set(x) for x in base_labels], [0.8 if x else 0.0 for x in base_labels]
             if n:
-                i = np.minimum(np.searchsorted(keys, w.hash), len(keys) - 1)
-                gate = np.flatnonzero(keys[i] == w.hash)
-                held: dict[int, set] = {}
-                for r, k in set(zip(w.doc[gate].tolist(), w.hash[gate].tolist())):
-                    held.setdefault(r, set()).add(name_of[k])
+                held = held_keywords(w)
                 raw = plain.tobytes()
                 for r, words in held.items():
                     if any(all(k in words for k in rule.keywords) for rule in rules()):

@@ -229,3 +229,43 @@ def test_wrappers_marks():
     assert wrappers.extract('<article><p>text</p></article><div class="comments"><article><p>me too</p></article></div>') == "text"
     assert wrappers.extract('<p>one <span class="ad">buy <span>now</span> here</span>two <a class="share" href="/">tell</a></p><p>three</p>') == "one two\nthree"
     assert wrappers.extract('<p>one <a class="share">tell</p><p>two</p>') == "one\ntwo"
+
+
+def _example(pattern, rnd):
+    """A string that a pattern matches, built from its parsed form."""
+    from re import _parser
+
+    def make(nodes):
+        out = ""
+        for op, arg in nodes:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                kind, x = arg[rnd.randrange(len(arg))]
+                out += "x" if str(kind) == "CATEGORY" else chr(x if str(kind) == "LITERAL" else rnd.randint(*x))
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(make(arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], max(1, arg[0] + 1)))))
+            elif op == "SUBPATTERN":
+                out += make(arg[3])
+            elif op == "BRANCH":
+                out += make(rnd.choice(arg[1]))
+            else:
+                assert op == "ASSERT_NOT", op
+        return out
+
+    return make(_parser.parse(pattern.pattern))
+
+
+def test_license_rules_pass_their_gate(spark):
+    rnd = random.Random(3)
+    for rule in licenses.rules():
+        shown = [_example(rule.pattern, rnd) for _ in range(40)]
+        held = licenses.held_keywords(kit.Words(*kit.utf8(pa.array(shown))))
+        for i, text in enumerate(shown):
+            assert rule.pattern.fullmatch(text), (rule, text)
+            assert set(rule.keywords) <= held.get(i, set()), (rule, text)
+    glued = {"GPLv3": "gpl", "LGPLv2": "lgpl", "AGPLv3": "agpl", "MPL2": "mpl", "EPL2": "epl", "Apache2": "apache", "the Unlicence": "unlicense", "Open RAIL": "openrail", "GPL2": "gpl"}
+    rows = [(i, f"Licensed under {x}.") for i, x in enumerate(glued)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [(x, 0.97) for x in glued.values()]

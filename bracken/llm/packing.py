@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -74,10 +75,49 @@ def _put(gaps, sizes, size, run):
         gaps[size].append(run)
 
 
+def added_tokens(tokenizer) -> dict[str, int]:
+    """Strings and ids of a tokenizer's added tokens; those that are found in another way than as they are written raise."""
+    added = tokenizer.get_added_tokens_decoder()
+    for t in added.values():
+        if t.single_word or t.lstrip or t.rstrip:
+            raise ValueError(f"added token with conditions: {t}")
+    return {t.content: i for i, t in added.items()}
+
+
+def encode_rows(own: bpe.Ranks, column: pa.Array, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows end to end, and each row's first; added tokens are cut out of the texts before these are encoded."""
+    buf, off = kit.utf8(column)
+    found = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)).encode()) if added else None
+    hits = [(m.start(), m.end(), added[m.group().decode()]) for m in found.finditer(buf.tobytes())] if found else []
+    if hits:  # a match that two rows make together is none; rows are then searched on their own
+        row = np.searchsorted(off, [a for a, _, _ in hits], side="right") - 1
+        if any(b > off[r + 1] for (_, b, _), r in zip(hits, row)):
+            raw = buf.tobytes()
+            hits = [(a + m.start(), a + m.end(), added[m.group().decode()]) for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in found.finditer(raw[a:b])]
+    if not hits:
+        return own.encode_rows(buf, off)
+    # Each text between tokens is a row of its own; a token is an empty one, whose id is put in afterwards.
+    cuts = np.array([x for a, b, _ in hits for x in (a, b)], np.int64)
+    edges = np.sort(np.concatenate([off, cuts]), kind="stable")
+    token = np.array([a for a, _, _ in hits], np.int64)
+    keep = np.ones(len(buf), bool)
+    for a, b, _ in hits:
+        keep[a:b] = False
+    kept = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(keep, out=kept[1:])
+    ids, first = own.encode_rows(buf[keep], kept[edges])
+    # The first edge at or after a token's start: what was encoded before it ends there.
+    place = first[np.searchsorted(edges, token, side="left")]
+    out = np.insert(ids.astype(np.int64), place, [i for _, _, i in hits])
+    ends = first[np.searchsorted(edges, off, side="left")]
+    return out, ends + np.searchsorted(token, off, side="left")
+
+
 def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, carry: bool = False) -> DataFrame:
     """One row per piece, ids by the tokenizer file at `path`. carry: also `ids` of the piece.
 
-    `ranks` is the same vocabulary as ranks; a worker first makes sure that both give the same ids for its first rows.
+    `ranks` is the same vocabulary as ranks, which encodes the text between the file's added tokens; a worker first makes
+    sure that both give the same ids for its first rows.
     """
     import public_tokenizers
 
@@ -90,10 +130,10 @@ def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, c
 
         own = bpe.Ranks(ranks, pattern)
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = added_tokens(tokenizer)
         checked = False
         for part in kit.slices(batches):
-            ids, first = own.encode_rows(*kit.utf8(part.column(1)))
+            ids, first = encode_rows(own, part.column(1), added)
             if not checked:
                 checked = True
                 for i, t in enumerate(part.column(1).slice(0, 3).to_pylist()):

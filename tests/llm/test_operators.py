@@ -269,3 +269,18 @@ def test_license_rules_pass_their_gate(spark):
     rows = [(i, f"Licensed under {x}.") for i, x in enumerate(glued)]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == [(x, 0.97) for x in glued.values()]
+
+
+def test_packing_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 2, f" {end} ", "<|endof", "text|>", f"x  {end}  y", "", f"é{end}漢{end}", "plain", None, f"{end}tail", f"head{end}"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, own = Tokenizer.from_file(path), bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 50256, 65]
+    ids, first = packing.encode_rows(own, pa.array(texts), packing.added_tokens(t))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), carry=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [*x, packing.END] for i, x in enumerate(want)}

@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation and a lexicon learnt from labels.
 
 1. A character trigram model counts letters over all documents (`letter_counts`); its table has ALPHABET**3 cells.
-2. Words that look disguised (look-alike signs between letters, three like letters in a row, letters set apart by blanks,
-   dots or dashes) become a lattice: each sign may stand for itself or for a letter, a repeated letter or a separator may
+2. Words that look disguised (a look-alike sign and a letter, wherever they stand, three like letters in a row, letters set
+   apart by blanks, dots or dashes) become a lattice: each sign may stand for itself or for a letter, a repeated letter or a separator may
    be dropped, each at a cost. Viterbi decoding finds the path of least cost under the trigram model.
 3. Restored words join the text's own. A lexicon of words and 5-letter grams, weighed by log odds between toxic and other
    labelled documents, gives each word its evidence; an isotonic function of the strongest and the summed evidence, fitted
@@ -85,17 +85,18 @@ class Channel:
         p = (t + 20 * two[None]) / (t.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(np.maximum(p, 1e-12))).round(3).tolist()
         self.place = {ch: i + 1 for i, ch in enumerate(LETTERS)}
-        self.memory: dict[str, str] = {}
+        self.memory: dict[tuple[str, bool], str] = {}
 
-    def restore(self, word: str) -> str:
-        got = self.memory.get(word)
+    def restore(self, word: str, read: bool = False) -> str:
+        """The word behind a disguise. read: look-alike signs are letters and are not dropped, unless repeated."""
+        got = self.memory.get((word, read))
         if got is None:
             if len(self.memory) > 200_000:
                 self.memory.clear()
-            got = self.memory[word] = self._viterbi(word)
+            got = self.memory[word, read] = self._viterbi(word, read)
         return got
 
-    def _viterbi(self, word: str) -> str:
+    def _viterbi(self, word: str, read: bool = False) -> str:
         states = {(0, 0): (0.0, None)}  # two codes before -> cost, path
         cost, before = self.cost, ""
         for ch in word.lower():
@@ -107,7 +108,7 @@ class Channel:
                 options.append((0.0, OTHER, ch))
             for x in LOOKS.get(ch, ""):
                 options.append((LOOK_COST, self.place[x], x))
-            skip = DROP_REPEAT_COST if ch == before else None if own or ch.isdigit() else DROP_SIGN_COST
+            skip = DROP_REPEAT_COST if ch == before else None if own or ch.isdigit() or read and ch in LOOKS else DROP_SIGN_COST
             if not options and skip is None:
                 options.append((KEEP_SIGN_COST, 0, ch))
             new: dict = {}
@@ -135,57 +136,83 @@ class Channel:
 
 @cache
 def _signs() -> np.ndarray:
-    """Of each byte: 1 an ASCII letter or any byte of a longer character, 2 a look-alike sign, 3 a separator."""
-    out = np.zeros(256, np.uint8)
-    for i in range(256):
-        ch = chr(i)
-        out[i] = 1 if i >= 128 or ch.isalpha() else 2 if ch in LOOKS else 3 if ch in ".-_*~'" else 0
+    """Of each code point: 1 a letter, 2 a look-alike sign, 3 a separator."""
+    out = (_codes() > 0).astype(np.uint8)
+    out[[ord(ch) for ch in LOOKS]] = 2
+    out[[ord(ch) for ch in ".-_*~'"]] = 3
     return out
 
 
-def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
-    """(row, disguised word) of the texts: words to restore, blanks between single letters taken out."""
+#: What is taken off a word's ends; the second has look-alike signs too.
+_ENDS, _ALL_ENDS = ".,;:?\"')[]{}<>#%&*", ".,;:?!\"'()[]{}<>#%&*"
+
+
+def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str, str]]:
+    """(row, disguised word, the same without signs of punctuation, empty for letters set apart) of the texts; blanks between single letters are taken out."""
     w = kit.Words(buf, off)
     n = len(w.start)
     if not n:
         return []
-    kind = _signs()[buf]
+    cp, _ = kit.points(buf, off)
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    solid = ~kit._SPACE[buf[lead]]
+    cp, lead = cp[solid], lead[solid]
+    kind, code = _signs()[cp], _codes()[cp]
+    word_of = np.searchsorted(w.start, lead, side="right") - 1
+    has = [np.bincount(word_of[kind == k], minlength=n) for k in (1, 2)]
+    flag = (has[0] > 0) & (has[1] > 0)  # a look-alike sign and a letter, wherever they stand
+    # A separator with a letter on both sides, perhaps beyond other signs.
+    where = np.arange(len(cp))
     letter = kind == 1
-    odd = np.zeros(len(buf), bool)
-    # A sign with a letter on both sides, perhaps beyond other signs.
-    where = np.arange(len(buf))
     last = np.maximum.accumulate(np.where(letter, where, -1))
-    nxt = np.minimum.accumulate(np.where(letter, where, len(buf))[::-1])[::-1]
-    word_of = np.searchsorted(w.start, where, side="right") - 1
-    sign = np.flatnonzero((kind == 2) | (kind == 3))
-    ws = word_of[sign]
-    ok = (last[sign] >= w.start[ws]) & (nxt[sign] < w.end[ws]) & (nxt[sign] - last[sign] <= 4)
-    first_sign = (kind[sign] == 2) & (sign == w.start[ws]) & (nxt[sign] == sign + 1) & (w.end[ws] - sign >= 4)
-    odd[sign[ok | first_sign]] = True
-    low = buf | 0x20
-    three = np.flatnonzero(letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & (buf[2:] < 128)) + 2
-    odd[three] = True
-    flag = np.zeros(n, bool)
-    flag[word_of[np.flatnonzero(odd & ~kit._SPACE[buf])]] = True
-    size = w.end - w.start
+    nxt = np.minimum.accumulate(np.where(letter, where, len(cp))[::-1])[::-1]
+    sign = np.flatnonzero(kind == 3)
+    sign = sign[(last[sign] >= 0) & (nxt[sign] < len(cp)) & (nxt[sign] - last[sign] <= 4)]
+    sign = sign[(word_of[last[sign]] == word_of[sign]) & (word_of[nxt[sign]] == word_of[sign])]
+    flag[word_of[sign]] = True
+    three = np.flatnonzero((code[2:] > 0) & (code[2:] < OTHER) & (code[2:] == code[1:-1]) & (code[2:] == code[:-2]) & (word_of[2:] == word_of[:-2])) + 2
+    flag[word_of[three]] = True
     out = []
     raw = buf.tobytes()
     for i in np.flatnonzero(flag).tolist():
-        out.append((int(w.doc[i]), raw[w.start[i] : w.end[i]].decode("utf-8").strip(".,;:?!\"'()[]{}<>#%&*")))
-    single = (size == 1) & (kind[w.start] > 0) & (kind[w.start] < 3)
+        word = raw[w.start[i] : w.end[i]].decode("utf-8")
+        out.append((int(w.doc[i]), word.strip(_ENDS), word.strip(_ALL_ENDS)))
+    # Single letters and signs set apart by blanks, perhaps with separators between them.
+    first = np.searchsorted(lead, w.start)
+    one = kind[first]
+    single = (np.bincount(word_of, minlength=n) == 1) & (one > 0)
     edge = np.ones(n, bool)
     edge[1:] = (single[1:] != single[:-1]) | (w.doc[1:] != w.doc[:-1])
     starts = np.flatnonzero(edge)
     ends = np.append(starts[1:], n)
-    for a, b in zip(starts[single[starts]].tolist(), ends[single[starts]].tolist()):
-        if b - a >= 3:
-            out.append((int(w.doc[a]), "".join(chr(buf[j]) for j in w.start[a:b])))
+    told = np.zeros(n + 1, np.int64)
+    np.cumsum(one < 3, out=told[1:])
+    good = single[starts] & (told[ends] - told[starts] >= 3)
+    for a, b in zip(starts[good].tolist(), ends[good].tolist()):
+        word = "".join(map(chr, cp[first[a:b]].tolist()))
+        out.append((int(w.doc[a]), word, ""))
+    return out
+
+
+def restored(buf: np.ndarray, off: np.ndarray, channel: Channel) -> list[tuple[int, str]]:
+    """(row, restored word) of the disguised words; a plain word with punctuation at its ends is none.
+
+    Where dropping a sign is cheaper than reading it (`a$$` is near `a`), the form with all signs read is given too. Signs
+    that may be a plain word's punctuation (`!` at its ends, an opening bracket) are only read where that is cheaper.
+    """
+    out = []
+    for row, word, bare in disguised(buf, off):
+        plain = bare.lower()
+        forms = dict.fromkeys(channel.restore(x) for x in (word, bare) if x)
+        if not bare.isalpha() and any(ch in LOOKS for ch in bare or word):
+            forms |= dict.fromkeys(channel.restore(x, True) for x in (word, bare) if x)
+        out += [(row, x) for x in forms if x and not (x == plain and x.isalpha())]
     return out
 
 
 def _features(buf, off, channel: Channel):
     """Rows, word hashes, and for every gram its hash and its word; restored words come after the text's own."""
-    extra = [(r, channel.restore(x)) for r, x in disguised(buf, off) if x]
+    extra = restored(buf, off, channel)
     cp, first = kit.points(buf, off)
     more = np.frombuffer(" ".join([x for _, x in extra]).encode("utf-32-le"), np.uint32)
     c = _codes()[np.concatenate([cp, np.full(1, 32, np.uint32), more])]

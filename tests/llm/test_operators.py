@@ -284,3 +284,16 @@ def test_packing_added_tokens(spark):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
     rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), carry=True).collect()
     assert {r.doc_id: r.ids for r in rows} == {i: [*x, packing.END] for i, x in enumerate(want)}
+
+
+def test_toxicity_decodes_signs_anywhere():
+    plain = " ".join(["asshole ass shit hole loser idiot the hit"] * 400)
+    cp = np.frombuffer(plain.encode("utf-32-le"), np.uint32)
+    c = toxicity._codes()[cp].astype(np.int64)
+    counts = np.bincount(c[:-2] * toxicity.ALPHABET**2 + c[1:-1] * toxicity.ALPHABET + c[2:], minlength=toxicity.ALPHABET**3)
+    channel = toxicity.Channel(counts)
+    rows = {"a$$": "ass", "sh!7": "shit", "@$$hole": "asshole", "@ss": "ass", "lo$€r,": "loser", "£oser": "loser", "los€": "lose", "i - d - i - 0 - t": "idiot", "é t é": "été"}
+    got = toxicity.restored(*kit.utf8(pa.array(rows)), channel)
+    for i, (text, want) in enumerate(rows.items()):
+        assert want in [x for r, x in got if r == i], (text, got)
+    assert not toxicity.restored(*kit.utf8(pa.array(["hit! (the hole), loser.", None, "", "- - - -"])), channel)

@@ -6,6 +6,7 @@ Everything works on whole texts, one bounded slice of a batch at a time.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,6 +21,9 @@ _MIX1, _MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 BYTE_KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 
+#: Longer spans are hashed and compared one by one.
+LONG_SPAN = 256
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -107,7 +111,14 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.doc = np.searchsorted(off, self.start, side="right") - 1
         self.bounds = np.searchsorted(self.start, off)  # first word of each row
-        self._hash = None
+        self._hash = self._ids = None
+
+    @property
+    def ids(self) -> np.ndarray:
+        """A number for each word: equal words, and no others, have equal numbers."""
+        if self._ids is None:
+            self._ids = kinds(self.buf, self.start, self.end, self.hash)[1]
+        return self._ids
 
     @property
     def hash(self) -> np.ndarray:
@@ -120,13 +131,64 @@ class Words:
         return np.diff(self.bounds)
 
 
+def _wide(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros follow the last)."""
+    held = np.zeros(len(buf) + 8, np.uint8)
+    held[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", held, 0, (1,))
+
+
+def _eights(wide: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of spans of more than 8 * k bytes."""
+    got = wide[start + 8 * k]
+    left = size - 8 * k
+    short = np.flatnonzero(left < 8)
+    got[short] &= (U(1) << (U(8) * left[short].astype(np.uint64))) - U(1)
+    return got
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes in each span, the same wherever they stand."""
-    n = len(buf)
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_KEYS[buf] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of the bytes in each span, the same wherever they stand. `same_spans` tells equal ones for sure."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + U(_BASE))
+    wide, k = _wide(buf), 0
+    rows = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    while len(rows):
+        h[rows] = mix((h[rows] ^ _eights(wide, start[rows], size[rows], k)) * U(_BASE))
+        k += 1
+        rows = rows[size[rows] > 8 * k]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from each place a on equal those from b on, byte by byte."""
+    same = np.ones(len(a), bool)
+    wide, k = _wide(buf), 0
+    rows = np.flatnonzero((size > 0) & (size <= LONG_SPAN) & (a != b))
+    while len(rows):
+        same[rows] = _eights(wide, a[rows], size[rows], k) == _eights(wide, b[rows], size[rows], k)
+        k += 1
+        rows = rows[same[rows] & (size[rows] > 8 * k)]
+    for i in np.flatnonzero((size > LONG_SPAN) & (a != b)).tolist():
+        same[i] = np.array_equal(buf[a[i] : a[i] + size[i]], buf[b[i] : b[i] + size[i]])
+    return same
+
+
+def kinds(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each content, which of them each span is): equal hashes are compared byte by byte."""
+    h = span_hashes(buf, start, end) if h is None else h
+    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    rep, size = at[which] if len(at) else which, end - start
+    other = np.flatnonzero(rep != np.arange(len(h)))
+    like = (size[rep[other]] == size[other]) & same_spans(buf, start[rep[other]], start[other], size[other])
+    if like.all():
+        return at, which
+    names: dict[bytes, int] = {}  # unlike bytes of one hash: by their bytes
+    raw = buf.tobytes()
+    which = np.array([names.setdefault(raw[x:y], len(names)) for x, y in zip(start.tolist(), end.tolist())], np.int64)
+    return np.unique(which, return_index=True)[1], which
 
 
 def grams(x: np.ndarray, n: int) -> np.ndarray:

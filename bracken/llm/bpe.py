@@ -4,7 +4,7 @@ A text is pre-tokenised in chunks of `CHUNK` characters, each read `OVERLAP` cha
 are stitched at the first place in the overlap where both have a pre-token boundary: from there on the pattern's matches
 are the same, as it never looks back. If an overlap has no such place (a run longer than it), the left chunk is read on
 with a doubled overlap. Each distinct pre-token of a slice is then encoded once, through a bounded memory of earlier
-ones. The pattern is public_tokenizers.PATTERN, in an array form that tests hold against the regex.
+ones; equal hashes are compared byte by byte. Decoding gathers the bytes of each id of the whole sequence. The pattern is public_tokenizers.PATTERN, in an array form that tests hold against the regex.
 
 Defined results: null counts as empty, which has no ids; any string, whatever its length, is encoded whole; equal texts
 give equal ids; extra columns are ignored; an empty table gives no rows. Decoding raises KeyError on an unknown id.
@@ -34,11 +34,12 @@ REMEMBER = 400_000
 def _classes() -> np.ndarray:
     """Of every code point: 1 letter, 2 number, 3 white space (Unicode's White_Space), 0 any other."""
     out = np.zeros(sys.maxunicode + 1, np.uint8)
-    letter, number, space = (regex.compile(x) for x in (r"\p{L}", r"\p{N}", r"\s"))
-    for i in range(sys.maxunicode + 1):
-        if not 0xD800 <= i <= 0xDFFF:
-            c = chr(i)
-            out[i] = 1 if letter.match(c) else 2 if number.match(c) else 3 if space.match(c) else 0
+    points = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]
+    whole = "".join(map(chr, points))
+    at = np.array(points)
+    for kind, shape in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+        for m in regex.finditer(shape, whole):
+            out[at[m.start() : m.end()]] = kind
     return out
 
 
@@ -139,22 +140,41 @@ class Ranks:
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
+    @functools.cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes end to end, and each id's place and size (-1: no such id)."""
+        size = np.full(max(self.bytes_of) + 1, -1, np.int64)
+        for i, b in self.bytes_of.items():
+            size[i] = len(b)
+        first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        return np.frombuffer(b"".join([b for _, b in sorted(self.bytes_of.items())]), np.uint8), first, size
+
+    def decode_rows(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The raw bytes of rows of ids laid end to end, and each row's first byte."""
+        flat, place, size = self._table
+        if len(ids) and (int(ids.max()) >= len(size) or (size[ids] < 0).any()):
+            raise KeyError("unknown id")
+        n = size[ids]
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        return flat[np.repeat(place[ids] - total[:-1], n) + np.arange(total[-1])], total[first]
+
     def pieces(self, buf, off, make):
         """(values of the distinct pre-tokens, which of them each pre-token is, each row's first pre-token)."""
         start, bounds = pretoken_starts(buf, off)
         end = np.append(start[1:], len(buf))  # rows stand end to end, so a piece ends where the next starts
-        h = kit.span_hashes(buf, start, end)
-        kinds, at, which = np.unique(h, return_index=True, return_inverse=True)
-        raw, known, values = buf.tobytes(), self.known, []
+        at, which = kit.kinds(buf, start, end)
+        raw, known = buf.tobytes(), self.known
         if len(known) > REMEMBER:
             known.clear()
-        for k, a, b in zip(kinds.tolist(), start[at].tolist(), end[at].tolist()):
-            piece = raw[a:b]
-            got = known.get(piece)
-            if got is None:
-                got = known[piece] = make(self.encoding._encode_single_piece(piece))
-            values.append(got)
-        return values, which, bounds
+        distinct = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        fresh = [piece for piece in distinct if piece not in known]
+        known.update((piece, make(ids)) for piece, ids in zip(fresh, self.encode_pieces(fresh)))
+        return [known[piece] for piece in distinct], which, bounds
+
+    def encode_pieces(self, pieces: list[bytes]):
+        """The ids of each pre-token."""
+        return map(self.encoding._encode_single_piece, pieces)
 
     def encode_rows(self, buf, off) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and each row's first."""
@@ -203,24 +223,36 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
+def _decimals(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids as decimals joined by commas, row by row, as bytes end to end, and each row's first byte."""
+    ids = ids.astype(np.int64)
+    width = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
+    last = np.zeros(len(ids), bool)
+    last[(first[1:] - 1)[np.diff(first) > 0]] = True
+    size = width + ~last
+    total = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(size, out=total[1:])
+    out = np.full(int(total[-1]), ord(","), np.uint8)
+    for k in range(10):
+        at = np.flatnonzero(width > k)
+        if not len(at):
+            break
+        out[total[at] + width[at] - 1 - k] = ord("0") + ids[at] // 10**k % 10
+    return out, total[first]
+
+
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes and decodes every row at once; only digests leave the task."""
     own_path, own_pattern = path or _default_path()[0], _default_path()[1]
 
     def run(batches):
         ranks = Ranks(own_path, own_pattern)
-        make = lambda ids: (len(ids), ",".join(map(str, ids)), ranks.decode(ids))
         for part in kit.slices(batches):
-            values, which, bounds = ranks.pieces(*kit.utf8(part.column(1)), make)
-            size = np.array([v[0] for v in values], np.int64)[which] if len(which) else which
-            shown, raw = [v[1] for v in values], [v[2] for v in values]
-            which = which.tolist()
-            sha, back = [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = which[a:b]
-                sha.append(hashlib.sha256(",".join([shown[i] for i in own]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([raw[i] for i in own])).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kit.counts(size, bounds), pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, first = ranks.encode_rows(*kit.utf8(part.column(1)))
+            raw, at = ranks.decode_rows(ids, first)
+            shown, place = _decimals(ids, first)
+            digests = [[hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(x[:-1].tolist(), x[1:].tolist())] for data, x in ((shown, place), (raw, at))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first), pa.int64()), *[pa.array(x, pa.string()) for x in digests]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -24,7 +24,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _kit as kit
 from .packing import saved
@@ -39,6 +40,7 @@ SKETCH = 64
 MAY_DIFFER = 27
 CELL = 1024
 BROADCAST_ROWS = 500_000
+_NODE, _DOC, _GONE = "__node", "__doc", "__gone"  # no columns of a table
 
 
 def _sets(buf, off):
@@ -84,7 +86,7 @@ def _describe(batches):
         h, b = _sets(buf, off)
         size = np.diff(b)
         rows = len(size)
-        ident = kit.mix(kit_sum(kit.mix(h ^ _seed(1)), b) + size.astype(np.uint64)).view(np.int64)
+        ident = _names(h, b)
         full = np.flatnonzero(size)
         sketch = np.zeros((rows, 2), np.uint64)
         if len(full):
@@ -112,6 +114,11 @@ def _describe(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ident), pa.array(size.astype(np.int32)), pa.array(sketch[:, 0].view(np.int64)), pa.array(sketch[:, 1].view(np.int64)), lists], ["doc_id", "node", "size", "s0", "s1", "paths"])
 
 
+def _names(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The node of each set."""
+    return kit.mix(kit_sum(kit.mix(h ^ _seed(1)), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
 def kit_sum(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h, out=total[1:])
@@ -202,17 +209,18 @@ def _candidates(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of (a, b) edges; label is the least node of the component.
 
-    Each round hangs every node on its least neighbour and contracts. Edges, and so rounds, shrink until none is left.
+    Each round hangs every node on its least neighbour, then on what that one hangs on, and contracts, until no edge is
+    left. A round at least halves a path, however its nodes are ordered.
     """
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    for _ in range(rounds):
-        if not edges.take(1):
-            break
-        up = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+    while edges.take(1):
+        least = _small(saved(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))))
+        above = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        up = _small(saved(least.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))))
         if labels is None:
             nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
             labels = nodes.join(up, "node", "left").select("node", F.coalesce("up", "node").alias("label"))
@@ -302,6 +310,12 @@ def _shingles(batches):
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links of every row."""
+    linked, alone, unnamed = _classes(docs)
+    return linked.drop("node").unionByName(alone).unionByName(unnamed)
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with words (doc_id, node, class_id, n_links), rows without, and rows without a doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(docs.where("doc_id is not null").mapInArrow(_describe, "doc_id long, node long, size int, s0 long, s1 long, paths array<long>"))
     nodes = rows.where("size > 0").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("paths").alias("paths"))
@@ -329,10 +343,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     node_info = saved(node_info)
     least = node_info.groupBy("label").agg(F.min("first").alias("class_id"))
     by_node = node_info.join(least, "label").select("node", "class_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
-    linked = rows.where("size > 0").select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "n_links")
+    linked = rows.where("size > 0").select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id", "n_links")
     alone = rows.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     unnamed = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone).unionByName(unnamed)
+    return linked, alone, unnamed
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -356,10 +370,26 @@ def _once(t: pa.Table) -> pa.Table:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that have the least doc_id of their class, with all their columns; a null doc_id stays."""
-    classes = jaccard_classes(docs)
-    gone = saved(classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class, of its least doc_id, with all its columns; rows without words or doc_id stay.
+
+    Rows that share a doc_id are judged by their own texts; of repeats of one row, one stays.
+    """
+    linked = saved(_classes(docs)[0])
+    gone = linked.where("doc_id <> class_id").select("doc_id", "node").distinct()
+    if not linked.groupBy("doc_id").count().where("count > 1").take(1):
+        return docs.join(_small(saved(gone.select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+
+    def named(batches):
+        for part in kit.slices(batches):
+            h, b = _sets(*kit.utf8(part.column(part.schema.get_field_index("text"))))
+            yield part.append_column(_NODE, pa.array(_names(h, b), mask=np.diff(b) == 0))
+
+    rows = docs.mapInArrow(named, StructType([*docs.schema.fields, StructField(_NODE, LongType())]))
+    gone = gone.select(F.col("doc_id").alias(_DOC), F.col("node").alias(_GONE))
+    kept = rows.join(_small(saved(gone)), (rows["doc_id"] == F.col(_DOC)) & (rows[_NODE] == F.col(_GONE)), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", _NODE).orderBy("text"))
+    alone = F.col(_NODE).isNull() | F.col("doc_id").isNull()
+    return kept.where(alone).unionByName(kept.where(~alone).withColumn(_GONE, nth).where(F.col(_GONE) == 1).drop(_GONE)).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -84,6 +84,39 @@ def added_tokens(tokenizer) -> dict[str, int]:
     return {t.content: i for i, t in added.items()}
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte: printable Latin-1 as it is, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class Words(bpe.Ranks):
+    """The tokenizer of a json file; its model encodes each distinct pre-token of a slice once."""
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = added_tokens(self.tokenizer)
+        self.known: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
+        # The array form of the pattern stands for the file's own pre-tokenizer; another one is refused.
+        sample = "It's 12  o'clock\n\n (né漢)  'tis\t!"
+        own = [x[0] for x in self.tokenizer.pre_tokenizer.pre_tokenize_str(sample)]
+        buf, off = kit.utf8(pa.array([sample]))
+        start = bpe.pretoken_starts(buf, off)[0]
+        if self.tokenizer.normalizer is not None or own != [self._letters(buf[a:b].tobytes()) for a, b in zip(start, np.append(start[1:], len(buf)))]:
+            raise ValueError(f"{path} does not split texts as {pattern} does")
+
+    def _letters(self, piece: bytes) -> str:
+        return piece.decode("latin-1").translate(self.letters)
+
+    def encode_pieces(self, pieces):
+        tokenize = self.tokenizer.model.tokenize
+        return ([t.id for t in tokenize(self._letters(p))] for p in pieces)
+
+
 def encode_rows(own: bpe.Ranks, column: pa.Array, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows end to end, and each row's first; added tokens are cut out of the texts before these are encoded."""
     buf, off = kit.utf8(column)
@@ -113,32 +146,17 @@ def encode_rows(own: bpe.Ranks, column: pa.Array, added: dict[str, int]) -> tupl
     return out, ends + np.searchsorted(token, off, side="left")
 
 
-def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, carry: bool = False) -> DataFrame:
-    """One row per piece, ids by the tokenizer file at `path`. carry: also `ids` of the piece.
-
-    `ranks` is the same vocabulary as ranks, which encodes the text between the file's added tokens; a worker first makes
-    sure that both give the same ids for its first rows.
-    """
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, carry: bool = False) -> DataFrame:
+    """One row per piece, ids by the tokenizer file at `path`. carry: also `ids` of the piece."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        own = bpe.Ranks(ranks, pattern)
-        tokenizer = Tokenizer.from_file(path)
-        added = added_tokens(tokenizer)
-        checked = False
+        own = Words(path, pattern)
         for part in kit.slices(batches):
-            ids, first = encode_rows(own, part.column(1), added)
-            if not checked:
-                checked = True
-                for i, t in enumerate(part.column(1).slice(0, 3).to_pylist()):
-                    if tokenizer.encode(t or "", add_special_tokens=False).ids != ids[first[i] : first[i + 1]].tolist():
-                        raise ValueError(f"{ranks} is not the vocabulary of {path}")
+            ids, first = encode_rows(own, part.column(1), own.added)
             doc, nth, start, length, crc, raw = [], [], [], [], [], []
             for d, a, b in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
                 own_ids = np.append(ids[a:b], END).astype("<u4")
@@ -159,10 +177,13 @@ def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, c
 
 
 def checkpoint_dir(spark) -> None:
-    """Makes sure that checkpoints have a folder: the one of spark.checkpoint.dir, or, where it is unset, one of our own."""
+    """Makes sure that checkpoints have a folder: the one of spark.checkpoint.dir. Only in local mode, where that may be
+    unset, it is a temporary one of this machine."""
     if not spark.sparkContext.getCheckpointDir():
         own = spark.conf.get("spark.checkpoint.dir", None)
         if not own:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             own = tempfile.mkdtemp()

@@ -153,14 +153,25 @@ def _dup_lines(buf, off, w: kit.Words) -> np.ndarray:
     stop = np.minimum(stop, off[row_of + 1])
     stop = stop - ((stop > start) & (buf[np.maximum(stop - 1, 0)] == 10))
     has_word = np.searchsorted(w.start, stop) > np.searchsorted(w.start, start)
-    h = kit.span_hashes(buf, start[has_word], stop[has_word])
+    which = kit.kinds(buf, start[has_word], stop[has_word])[1]
     r = row_of[has_word]
-    o = np.lexsort((h, r))
+    o = np.lexsort((which, r))
     again = np.zeros(len(o), bool)
-    again[1:] = (h[o][1:] == h[o][:-1]) & (r[o][1:] == r[o][:-1])
+    again[1:] = (which[o][1:] == which[o][:-1]) & (r[o][1:] == r[o][:-1])
     return np.bincount(r[o][again], minlength=rows)
 
 
+def _equal_windows(w: kit.Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows that start at words a and b have equal words, byte by byte."""
+    same = w.doc[a] == w.doc[b]
+    size = w.end - w.start
+    for k in range(WINDOW):
+        same &= size[a + k] == size[b + k]
+        left = np.flatnonzero(same)
+        same[left] = kit.same_spans(w.buf, w.start[a[left] + k], w.start[b[left] + k], size[a[left] + k])
+    return same
+
+
 def _repeat_words(w: kit.Words, rows: int) -> np.ndarray:
     """Words covered by windows of five words that stand at least twice in their text."""
     n = len(w.start)
@@ -173,6 +184,14 @@ def _repeat_words(w: kit.Words, rows: int) -> np.ndarray:
     o = np.argsort(h, kind="stable")
     s = h[o]
     same = s[1:] == s[:-1]
+    pair = np.flatnonzero(same)
+    if not _equal_windows(w, at[o[pair]], at[o[pair + 1]]).all():
+        # Unlike windows of one hash: the words' own numbers tell them apart.
+        ids = w.ids
+        _, h = np.unique(np.stack([w.doc[at], *[ids[at + k] for k in range(WINDOW)]], 1), axis=0, return_inverse=True)
+        o = np.argsort(h.reshape(-1), kind="stable")
+        s = h.reshape(-1)[o]
+        same = s[1:] == s[:-1]
     twice = np.zeros(len(o), bool)
     twice[1:] |= same
     twice[:-1] |= same

@@ -14,8 +14,8 @@ comments. Extraction looks a text up in the host's fixed texts, then its place a
 place that no wrapper has (a page that was not in the fit) gets its role by the same rule.
 
 The fit sees every page: different streams are counted per host, texts are counted over them, and distinct folded streams
-are counted per host and salt before any are gathered, merged per salt, and the salts' wrappers merged per host; a merge
-holds one wrapper and one stream.
+are merged in rounds, about FAN of a host at a time, until a host has one wrapper. Pages are never dealt out by host: the
+wrappers go to the pages, all of them if they are small (BROADCAST_BYTES, checked), else by a join.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; markup that breaks off is read as
 far as it goes; repeated rows give equal results; extra columns are ignored; an empty table gives no rows.
@@ -28,14 +28,19 @@ import difflib
 import hashlib
 import html as entities
 import json
+import math
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _kit as kit
+from .packing import saved
 
-SALTS = 8
+#: Wrappers that one merge takes in at most, on average; a host with more is merged in more rounds.
+FAN = 256
+#: Bytes of hosts' wrappers (or fixed texts) that are sent to all workers; more are joined by host instead.
+BROADCAST_BYTES = 32 << 20
 #: A host's text is fixed from this share of its different pages on, if it has so many. Two pages alike may be near copies.
 FIXED_SHARE, LEAST_PAGES = 0.9, 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|[^<]+|<", re.S | re.I)
@@ -302,17 +307,30 @@ def lies_inside(paths, main: str | None) -> bool:
     return main is not None and not any(main in p and not any(x[-1] == "!" for x in p[: p.index(main)]) for p in paths)
 
 
-def main_element(paths) -> str | None:
-    names = {x for p in paths for x in p}
-    return next((m for m in MAIN if m in names), None)
+def main_element(paths, size=None) -> str | None:
+    """The element that holds the main texts: the first of MAIN with a text that is not in a menu, sidebar or the like.
+
+    size: characters at each path; articles that hold less than half of the main element's text are teasers in it.
+    """
+    paths = list(paths)
+    weight = {}
+    for m in MAIN:
+        inside = lies_inside(paths, m)
+        good = [i for i, p in enumerate(paths) if m in p and is_main(p, m, inside)]
+        if good:
+            weight[m] = sum(size[i] for i in good) if size else 1
+    if len(weight) == 2 and 2 * weight["article"] < weight["main"]:
+        return "main"
+    return next(iter(weight), None)
 
 
 def extract(page: str, known: dict[tuple, bool] | None = None, main: str | None = None, fixed=frozenset()) -> str:
     """The page's main text: blocks in order, one to a line, without the host's fixed texts."""
     got = list(texts(page))
-    own = main_element(p for p, _, t in got if t.strip()) or (main if main and any(main in p for p, _, _ in got) else None)
+    filled = [(p, len(t)) for p, _, t in got if t.strip()]
+    own = main_element([p for p, _ in filled], [n for _, n in filled])
     blocks: dict[int, tuple[tuple, list[str]]] = {}
-    inside = lies_inside([p for p, _, t in got if t.strip()], own)
+    inside = lies_inside([p for p, _ in filled], own)
     for path, block, text in got:
         good = known.get(path) if known is not None and own == main else None
         if good is None:
@@ -347,11 +365,11 @@ def learn(pages: DataFrame) -> DataFrame:
                 flat = [(h, k) for h, ks in got if ks for k in ("", *ks)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in (0, 1)], ["host", "key"])
 
-    def folded(batches):
+    def folded(batches, fixed_of):
         for part in kit.slices(batches, "tokens"):
             seen: dict[tuple, int] = {}
-            for host, tokens, fixed in zip(*(part.column(k).to_pylist() for k in range(3))):
-                k = (host, json.dumps(fold(told(tokens.split(" ") if tokens else [], frozenset(fixed or ())))))
+            for host, tokens, fixed in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fixed_of(part)):
+                k = (host, json.dumps(fold(told(tokens.split(" ") if tokens else [], frozenset(fixed.split(" ") if fixed else ())))))
                 seen[k] = seen.get(k, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "wrapper", "n"])
 
@@ -364,24 +382,41 @@ def learn(pages: DataFrame) -> DataFrame:
         return pa.table({"host": [t["host"][0].as_py()], "wrapper": [json.dumps(wrapper)], "n": pa.array([sum(x[0] for x in rows)], pa.int64())})
 
     schema = "host string, wrapper string, n long"
-    different = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(streams, "host string, tokens string").distinct()
+    different = saved(pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(streams, "host string, tokens string").distinct())
     counts = different.mapInArrow(keys, "host string, key string").groupBy("host", "key").agg(F.count("*").alias("n"))
     of = counts.where("key = ''").select("host", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     often = counts.where("key != ''").where(F.col("n") >= FIXED_SHARE * LEAST_PAGES)
-    fixed = often.join(of, "host").where(F.col("n") >= FIXED_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("fixed"))
-    counted = different.join(fixed, "host", "left").select("host", "tokens", "fixed").mapInArrow(folded, schema).groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
-    salted = counted.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    return salted.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "wrapper")
+    fixed = often.join(of, "host").where(F.col("n") >= FIXED_SHARE * F.col("pages")).groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("key")), " ").alias("value"))
+    rows, known = _with_host_value(different, fixed)
+    level = saved(rows.mapInArrow(lambda b: folded(b, known), schema).groupBy("host", "wrapper").agg(F.sum("n").alias("n")))
+    while (most := level.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        salted = level.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(math.ceil(most / FAN))))
+        level = saved(salted.groupBy("host", "salt").applyInArrow(merged, schema))
+    return level.select("host", "wrapper")
+
+
+def _with_host_value(rows: DataFrame, values: DataFrame):
+    """(rows, function): the function gives the `value` of its host, or null, for each row of a batch of those rows.
+
+    Values of BROADCAST_BYTES or less in all are sent to the workers; else they are joined as a last column.
+    """
+    values = saved(values.select("host", "value"))
+    if (values.agg(F.sum(F.octet_length("host") + F.octet_length("value"))).first()[0] or 0) <= BROADCAST_BYTES:
+        sent = rows.sparkSession.sparkContext.broadcast({r.host: r.value for r in values.toLocalIterator()})
+        return rows, lambda part: [sent.value.get(h) for h in part.column(part.schema.get_field_index("host")).to_pylist()]
+    return rows.join(values, "host", "left").select(*rows.columns, "value"), lambda part: part.column(part.num_columns - 1).to_pylist()
 
 
 def extract_pages(pages: DataFrame, learnt: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
+    rows, wrapper_of = _with_host_value(own, learnt.select("host", F.col("wrapper").alias("value")))
 
     def run(batches):
         memory: dict[str, tuple] = {}
         for part in kit.slices(batches, "html"):
             out, size = [], []
-            for wrapper, page in zip(part.column(3).to_pylist(), part.column(2).to_pylist()):
+            for wrapper, page in zip(wrapper_of(part), part.column(2).to_pylist()):
                 got = memory.get(wrapper)
                 if got is None:
                     if len(memory) > 200:
@@ -395,9 +430,7 @@ def extract_pages(pages: DataFrame, learnt: DataFrame) -> DataFrame:
                 size.append(len(text))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(size, pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("_host", _host(F.col("url")))
-    joined = own.join(learnt, F.col("_host") == F.col("host"), "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _kit as kit
-from .packing import saved
+from .packing import drop, saved
 
 SHINGLE, SIMILAR = 5, 0.8
 TARGET, MISS = 0.99999, 0.012
@@ -218,18 +218,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while edges.take(1):
-        least = _small(saved(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))))
+        least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
         above = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = _small(saved(least.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))))
+        up = saved(least.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
         if labels is None:
             nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-            labels = nodes.join(up, "node", "left").select("node", F.coalesce("up", "node").alias("label"))
+            now = saved(nodes.join(up, "node", "left").select("node", F.coalesce("up", "node").alias("label")))
         else:
-            labels = labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        labels = saved(labels)
+            now = saved(labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         ua, ub = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         nxt = edges.join(ub, "b").join(ua, "a", "left").select(F.coalesce("ua", "a").alias("x"), F.col("ub").alias("y")).where("x <> y")
-        edges = saved(nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        nxt = saved(nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        for old in (edges, up, labels):
+            if old is not None:
+                drop(old)
+        edges, labels = nxt, now
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels

@@ -1,8 +1,7 @@
 """License scans by ordered signature rules.
 
-Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. The base phrases are found as runs of words. A rule
-is a regex over the words joined by blanks, with a label, a priority, a confidence and keywords; a text is matched against
-a rule only if it holds all of the rule's keywords as words, or as the beginning of a word if the keyword ends in `*`. Detections are ordered by priority, then length; one that lies inside
+Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. The base phrases are found as runs of words. The
+rules are the hand-written signatures of `signatures`. Detections are ordered by priority, then length; one that lies inside
 the interval of an earlier one is suppressed, and what remains gives labels and score.
 
 Defined results: null counts as empty; no words give empty labels, score 0 and null places; equal texts give equal results;
@@ -20,95 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _kit as kit
+from .signatures import TABLE
 
 #: Fixed values of the contract.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label: regexes of the name as words, each with the keyword that gates it.
-FAMILIES: dict[str, list[tuple[str, str]]] = {
-    "agpl": [(r"gnu affero general public licen[sc]e", "affero"), (r"agpl ?v?3?(?: 0)?", "agpl*")],
-    "lgpl": [(r"gnu (?:lesser|library) general public licen[sc]e", "general"), (r"lgpl ?v?[23]?(?: [01])?", "lgpl*")],
-    "gpl": [(r"gnu general public licen[sc]e", "general"), (r"gpl ?v?[123]?(?: 0)?", "gpl*")],
-    "gfdl": [(r"gnu free documentation licen[sc]e", "documentation"), (r"gfdl", "gfdl")],
-    "apache": [(r"apache (?:software )?licen[sc]e", "apache"), (r"apache ?[12](?: [01])?", "apache*")],
-    "mit": [(r"(?:the )?mit licen[sc]e", "mit"), (r"expat licen[sc]e", "expat")],
-    "bsd": [(r"(?:new |modified |simplified |original )?bsd(?: [0234] clause)? licen[sc]e", "bsd"), (r"bsd [0234] clause", "bsd")],
-    "mpl": [(r"mozilla public licen[sc]e", "mozilla"), (r"mpl ?[12](?: [01])?", "mpl*")],
-    "epl": [(r"eclipse public licen[sc]e", "eclipse"), (r"epl ?[12](?: 0)?", "epl*")],
-    "cddl": [(r"common development and distribution licen[sc]e", "development"), (r"cddl(?: 1 [01])?", "cddl")],
-    "cpl": [(r"common public licen[sc]e", "common")],
-    "eupl": [(r"european union public licen[sc]e", "european"), (r"eupl(?: 1 [012])?", "eupl")],
-    "isc": [(r"(?:the )?isc licen[sc]e", "isc")],
-    "zlib": [(r"zlib(?: libpng)? licen[sc]e", "zlib")],
-    "boost": [(r"boost software licen[sc]e", "boost"), (r"bsl 1 0", "bsl")],
-    "artistic": [(r"(?:the )?artistic licen[sc]e", "artistic")],
-    "psf": [(r"python software foundation licen[sc]e", "python"), (r"psf licen[sc]e", "psf")],
-    "php": [(r"php licen[sc]e", "php")],
-    "ruby": [(r"ruby licen[sc]e", "ruby")],
-    "unlicense": [(r"(?:the )?unlicen[sc]e", "unlicen*")],
-    "wtfpl": [(r"do what the \S+ you want to public licen[sc]e", "want"), (r"wtfpl", "wtfpl")],
-    "cc0": [(r"cc0(?: 1 0)?(?: universal)?", "cc0"), (r"cc zero", "cc")],
-    "cc-by-nc-nd": [(r"cc by nc nd(?: [1234] 0)?", "nd"), (r"attribution non ?commercial no ?derivatives?", "attribution")],
-    "cc-by-nc-sa": [(r"cc by nc sa(?: [1234] 0)?", "sa"), (r"attribution non ?commercial share ?alike", "attribution")],
-    "cc-by-nc": [(r"cc by nc(?: [1234] 0)?", "nc"), (r"attribution non ?commercial", "attribution")],
-    "cc-by-nd": [(r"cc by nd(?: [1234] 0)?", "nd"), (r"attribution no ?derivatives?", "attribution")],
-    "cc-by-sa": [(r"cc by sa(?: [1234] 0)?", "sa"), (r"attribution share ?alike", "attribution")],
-    "cc-by": [(r"cc by(?: [1234] 0)?", "cc"), (r"creative commons attribution", "creative")],
-    "creative-commons": [(r"creative commons(?: licen[sc]e)?", "creative")],
-    "ofl": [(r"(?:sil )?open font licen[sc]e", "font"), (r"ofl 1 1", "ofl")],
-    "odbl": [(r"open (?:data commons open )?database licen[sc]e", "database"), (r"odbl", "odbl")],
-    "odc-by": [(r"open data commons attribution licen[sc]e", "commons")],
-    "openrail": [(r"(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?", "open*"), (r"responsible ai licen[sc]e", "responsible")],
-    "llama": [(r"llama [234](?: [123])? community licen[sc]e", "llama")],
-    "gemma": [(r"gemma terms of use", "gemma")],
-    "nc-research": [(r"non ?commercial research (?:use )?(?:only )?licen[sc]e", "research")],
-    "ms-pl": [(r"microsoft public licen[sc]e", "microsoft"), (r"ms pl", "pl")],
-    "ms-rl": [(r"microsoft reciprocal licen[sc]e", "microsoft")],
-    "afl": [(r"academic free licen[sc]e", "academic")],
-    "osl": [(r"open software licen[sc]e", "open")],
-    "ecl": [(r"educational community licen[sc]e", "educational")],
-    "ncsa": [(r"university of illinois(?: ncsa)? open source licen[sc]e", "illinois")],
-    "postgresql": [(r"postgresql licen[sc]e", "postgresql")],
-    "openssl": [(r"openssl licen[sc]e", "openssl")],
-    "qpl": [(r"q public licen[sc]e", "q")],
-    "sleepycat": [(r"sleepycat licen[sc]e", "sleepycat")],
-    "sspl": [(r"server side public licen[sc]e", "server")],
-    "busl": [(r"business source licen[sc]e", "business")],
-    "elastic": [(r"elastic licen[sc]e", "elastic")],
-    "json": [(r"json licen[sc]e", "json")],
-    "vim": [(r"vim licen[sc]e", "vim")],
-    "w3c": [(r"w3c (?:software notice and )?licen[sc]e", "w3c")],
-    "unicode": [(r"unicode (?:terms of use|licen[sc]e)", "unicode")],
-    "x11": [(r"x11 licen[sc]e", "x11")],
-    "zpl": [(r"zope public licen[sc]e", "zope")],
-    "ipl": [(r"ibm public licen[sc]e", "ibm")],
-    "lppl": [(r"latex project public licen[sc]e", "latex")],
-    "cecill": [(r"cecill(?: [bc])?(?: licen[sc]e)?", "cecill")],
-    "mulan": [(r"mulan (?:psl|permissive software licen[sc]e)", "mulan")],
-    "upl": [(r"universal permissive licen[sc]e", "universal")],
-}
-#: Forms in which a name stands: regex around the name, its own keyword if any, priority, confidence.
-FORMS = [
-    (r"spdx license identifier {}(?: or later| only)?", "spdx", 5, 0.99),
-    (r"(?:is |are |be )?licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{}(?: version [0-9]+(?: [0-9]+)?)?", None, 4, 0.97),
-    (r"(?:released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{}(?: version [0-9]+(?: [0-9]+)?)?", "under", 4, 0.95),
-    (r"{}(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)(?: or (?:any )?later(?: version)?)?", None, 3, 0.9),
-    (r"{}", None, 1, 0.8),
-]
-#: Rules that are not about one name: label, regex, keyword, priority, confidence.
-OTHERS = [
-    ("public-domain", r"(?:dedicated to|placed in|released into) the public domain", "public", 4, 0.9),
-    ("proprietary", r"all rights reserved", "reserved", 2, 0.6),
-    ("proprietary", r"proprietary and confidential", "proprietary", 4, 0.9),
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", 5, 0.95),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee", "fee", 5, 0.95),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution", 5, 0.95),
-    ("gpl", r"this program is free software you can redistribute it and or modify it", "redistribute", 5, 0.9),
-    ("zlib", r"this software is provided as is without any express or implied warranty", "warranty", 5, 0.85),
-    ("copyright", r"copyright (?:c )?(?:[12][0-9]{3}|by)", "copyright", 1, 0.3),
-    ("some-license", r"see (?:the )?licen[sc]e(?: file)? for (?:more )?(?:details|information)", "see", 1, 0.4),
-]
-
 
 class Rule(NamedTuple):
     label: str
@@ -122,12 +37,9 @@ class Rule(NamedTuple):
 def rules() -> tuple[Rule, ...]:
     """All rules in order: by priority, then as listed."""
     out = []
-    for form, word, priority, confidence in FORMS:
-        for label, names in FAMILIES.items():
-            for name, keyword in names:
-                out.append(Rule(label, re.compile(rf"(?<!\S){form.format(f'(?:{name})')}(?!\S)"), (keyword, word) if word else (keyword,), priority, confidence))
-    for label, pattern, keyword, priority, confidence in OTHERS:
-        out.append(Rule(label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), (keyword,), priority, confidence))
+    for line in TABLE.strip().splitlines():
+        label, priority, confidence, keywords, shape = line.split(" | ", 4)
+        out.append(Rule(label, re.compile(rf"(?<!\S)(?:{shape})(?!\S)"), tuple(keywords.split()), int(priority), float(confidence)))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -183,7 +95,7 @@ def detect(words: str, held: set[str]) -> tuple[set[str], float, list[tuple[int,
     """Labels, score and kept detections (start, end, label) of words joined by blanks that hold the keywords `held`."""
     found = []
     for r in rules():
-        if all(k in held for k in r.keywords):
+        if held.issuperset(r.keywords):
             found += [(-r.priority, m.start() - m.end(), m.start(), m.end(), r) for m in r.pattern.finditer(words) if m.end() > m.start()]
     found.sort(key=lambda x: x[:4])
     kept: list[tuple[int, int, str]] = []
@@ -247,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 held = held_keywords(w)
                 raw = plain.tobytes()
                 for r, words in held.items():
-                    if any(all(k in words for k in rule.keywords) for rule in rules()):
+                    if any(words.issuperset(rule.keywords) for rule in rules()):
                         text = b" ".join(raw[off[r] : off[r + 1]].split()).decode("utf-8")
                         more, s, _ = detect(text, words)
                         labels[r] |= more

@@ -148,7 +148,7 @@ def test_licenses(spark):
     assert (got[1].n_base, got[1].first_word, got[1].base_labels) == (1, 3, "apache") and got[1].score > 0.9
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (3, 0, 7, "cc-by,gpl")
     assert got[3].n_words == 0 and got[3].first_word is None and got[4].n_base == 0 and got[5].labels == ""
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 230
 
 
 def test_quality_counts(docs):
@@ -243,7 +243,9 @@ def _example(pattern, rnd):
                 out += chr(arg)
             elif op == "IN":
                 kind, x = arg[rnd.randrange(len(arg))]
-                out += "x" if str(kind) == "CATEGORY" else chr(x if str(kind) == "LITERAL" else rnd.randint(*x))
+                out += "x" if str(kind) in ("CATEGORY", "NEGATE") else chr(x if str(kind) == "LITERAL" else rnd.randint(*x))
+            elif op == "ANY":
+                out += "x"
             elif op in ("MAX_REPEAT", "MIN_REPEAT"):
                 out += "".join(make(arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], max(1, arg[0] + 1)))))
             elif op == "SUBPATTERN":
@@ -260,7 +262,7 @@ def _example(pattern, rnd):
 def test_license_rules_pass_their_gate(spark):
     rnd = random.Random(3)
     for rule in licenses.rules():
-        shown = [_example(rule.pattern, rnd) for _ in range(40)]
+        shown = [" ".join(_example(rule.pattern, rnd).split()) for _ in range(40)]
         held = licenses.held_keywords(kit.Words(*kit.utf8(pa.array(shown))))
         for i, text in enumerate(shown):
             assert rule.pattern.fullmatch(text), (rule, text)
@@ -297,3 +299,70 @@ def test_toxicity_decodes_signs_anywhere():
     for i, (text, want) in enumerate(rows.items()):
         assert want in [x for r, x in got if r == i], (text, got)
     assert not toxicity.restored(*kit.utf8(pa.array(["hit! (the hole), loser.", None, "", "- - - -"])), channel)
+
+
+def _thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") & 1) ^ swap] for i in range(n))
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    """The Thue-Morse word and its complement have equal sums modulo 2**64, whatever the base."""
+    a, b = _thue_morse(4096), _thue_morse(4096, True)
+    h = kit.span_hashes(*(lambda x: (x[0], x[1][:-1], x[1][1:]))(kit.utf8(pa.array([a, b]))))
+    assert h[0] != h[1]
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}\n{a}"), (4, " ".join([a] * 60)), (5, " ".join([b] * 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    r = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {x.doc_id: x for x in bpe.round_trip_digests(docs).collect()}
+    for d, t in rows:
+        assert got[d].ids_sha256 == hashlib.sha256(",".join(map(str, r.encoding.encode_ordinary(t))).encode()).hexdigest()
+        assert got[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert {x.doc_id: x.n_dup_lines for x in quality.judge(docs, quality.fit_model([], [])).collect()}[3] == 1
+    plan = substring._plan(substring._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    assert {x.doc_id: x.n_removed for x in substring.anchors.remove_repeats(docs, plan).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_kinds_compares_bytes():
+    buf, off = kit.utf8(pa.array(["aa", "bb", "aa", "", "c" * 999, "c" * 999, "", "bb"]))
+    for h in (None, np.zeros(8, np.uint64)):  # all hashes alike: the bytes decide
+        at, which = kit.kinds(buf, off[:-1], off[1:], h)
+        assert len(at) == 4 and which[0] == which[2] and which[1] == which[7] and which[3] == which[6] and which[4] == which[5] and len(set(which.tolist())) == 4
+        assert [which[i] for i in at] == list(range(4))
+    w = kit.Words(*kit.utf8(pa.array(["x y x", None, "y"])))
+    assert w.ids[0] == w.ids[2] and w.ids[1] == w.ids[3] and w.ids[0] != w.ids[1]
+
+
+def test_components_of_paths_and_stars(spark):
+    path = [(i, i + 1) for i in range(20)]
+    star = [(1000, 1000 + i) for i in range(1, 40)] + [(2000 + i, 3000) for i in range(5)]
+    got = {r.node: r.label for r in jaccard.components(spark.createDataFrame(path + star, "a long, b long")).collect()}
+    assert {got[i] for i in range(21)} == {0} and {got[1000 + i] for i in range(40)} == {1000} and got[3000] == 2000
+    assert not jaccard.components(spark.createDataFrame([(1, 1)], "a long, b long")).count()
+
+
+def test_one_row_of_each_class_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(words), " ".join(words[:-1] + ["z"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, a, "y"), (2, near, "x"), (2, other, "x"), (3, None, "x"), (3, "", "x"), (None, a, "x"), (4, other, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_first(docs).collect())
+    assert got == Counter([(1, a), (2, other), (3, None), (3, ""), (None, a)])
+    plain = spark.createDataFrame([(1, a, 1), (2, near, 1), (5, other, 1)], "doc_id long, text string, n_chars long")
+    assert sorted(r.doc_id for r in jaccard.keep_first(plain).collect()) == [1, 5]
+
+
+def test_wrappers_teasers():
+    assert wrappers.extract("<aside><article>teaser</article></aside><main><p>Real text.</p></main>") == "Real text."
+    assert wrappers.extract("<main><h1>T</h1><p>Real text of some length.</p><article>teaser</article></main>") == "T\nReal text of some length.\nteaser"
+    assert wrappers.extract("<main><article><div class='article-header'><h1>T</h1></div><p>text</p></article><p>more</p></main>") == "T\ntext"
+
+
+def test_wrappers_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    rows = [(i, "http://h.a/x", "<body><div>" + "<p>a</p><ul><li>b</ul>" * (i % 3 + 1) + f"<h{i % 5 + 1}>t{i}</h{i % 5 + 1}></div>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learnt = wrappers.learn(pages)
+    assert learnt.count() == 1
+    sent = wrappers.extract_pages(pages, learnt).collect()
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
+    assert Counter(map(tuple, wrappers.extract_pages(pages, wrappers.learn(pages)).collect())) == Counter(map(tuple, sent))

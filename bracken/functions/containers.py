@@ -20,7 +20,7 @@ def _binary(hex_digits: str) -> Column:
 
 def route(name: Column) -> Column:
     """The inspector of a file name, null if only its content can tell."""
-    ext = F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
+    ext = F.lower(F.regexp_extract(name, r"[^/\\](\.[^./\\]+)$", 1))
     out = F.when(F.regexp_extract(name, r"([^/\\]*)$", 1) == REQUIREMENTS, "requirements")
     for inspector, extensions in ROUTES.items():
         out = out.when(ext.isin(extensions.split()), inspector)

@@ -16,6 +16,7 @@ LONGEST = 262_144
 ESCAPE, CALL, LEAK, ATTR, INCLUDES, CUT = "JINJA_SANDBOX_ESCAPE: ", "JINJA_DANGEROUS_CALL: ", "JINJA_CONTEXT_LEAK: ", "JINJA_ATTR_FILTER", "JINJA_TEMPLATE_INCLUSION: ", "JINJA_TEMPLATE_TRUNCATED: "
 
 
+# What counts as a whole identifier, as a use of a name, as a comment and as a quoted text. Results follow these shapes.
 def _whole(token: str) -> str:
     return rf"(?<![A-Za-z0-9_]){re.escape(token)}(?![A-Za-z0-9_])"
 

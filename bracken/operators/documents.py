@@ -10,32 +10,81 @@ from bracken.functions import containers, descriptions
 from bracken.operators import ranking
 
 PREFIX = "bracken:"
+#: Operators of a model that its inventory names.
+MOST_OPERATORS = 200
 
 
 def properties(judged: DataFrame) -> DataFrame:
     """(path, pos, name, value) of what is known of each artifact; nulls are left out, lists of findings repeat a name."""
     fmt = containers.framework_format(F.col("framework"))
-    kind = F.when(F.col("inspector").isin("pytorch", "variant"), "pickle:opcode").when(F.col("inspector") == "gguf", "gguf:chat_template_threat").otherwise(F.concat("inspector", F.lit(":threat")))
 
     def one(name: str, value: Column) -> Column:
         return F.struct(F.lit(PREFIX + name).alias("name"), value.cast("string").alias("value"))
 
-    plain = F.array(
-        one("risk", F.col("risk_level")),
-        one("legal", F.col("legal_status")),
-        one("format", fmt),
-        one("pickle:container", F.when(F.col("inspector").isin("pytorch", "variant"), F.col("container"))),
-        one("pickle:scan_incomplete", F.when(F.col("incomplete"), "true")),
-        one("safetensors:tensor_count", F.col("tensors")),
-        one("safetensors:dtypes", F.when(F.size("dtypes") > 0, F.array_join("dtypes", ","))),
-        one("gguf:keys_read", F.col("keys_read")),
-        one("keras:lambda_layers", F.when(F.size("lambda_layers") > 0, F.array_join("lambda_layers", ","))),
-        one("onnx:custom_ops", F.when(F.size("custom_ops") > 0, F.array_join("custom_ops", ","))),
+    def csv(values: Column) -> Column:
+        return F.when(F.size(values) > 0, F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), ","))
+
+    def many(name: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(PREFIX + name).alias("name"), v.alias("value")))
+
+    known = fmt.isNotNull()
+    bears = known & F.col("inspector").isin("pytorch", "variant")
+    of = lambda f, value: F.when(fmt == f, value)
+    threats = F.coalesce("threats", F.array().cast("array<string>"))
+    templates = F.col("templates")
+    about = F.concat(F.array(one("risk", F.col("risk_level")), one("legal", F.col("legal_status")), one("format", fmt)))
+    pickled = F.concat(
+        many("pickle:opcode", F.when(bears, threats)),
+        F.array(
+            one("pickle:opcode_count", F.when(bears, F.size(threats))),
+            one("pickle:container", F.when(bears & (F.col("inspector") == "variant"), F.coalesce("container", F.when(F.col("npy").isNotNull(), "npy").otherwise("bare")))),
+            one("pickle:scan_incomplete", F.when(bears & F.col("incomplete"), "true")),
+            one("pickle:dill_code_objects", F.when(bears & F.col("dill"), "true")),
+            one("joblib:compression", of("joblib", F.col("packed"))),
+            one("joblib:decompressed_bytes", of("joblib", F.col("unpacked_bytes"))),
+            one("numpy:dtype", of("numpy", F.col("npy.dtype"))),
+            one("numpy:object_dtype", of("numpy", F.col("npy.object_dtype"))),
+            one("numpy:shape", of("numpy", F.col("npy.shape"))),
+            one("numpy:npy_version", of("numpy", F.col("npy.version"))),
+            one("numpy:member_count", of("numpy", F.col("members"))),
+        ),
     )
-    repeated = F.transform("threats", lambda t: F.struct(F.concat(F.lit(PREFIX), kind).alias("name"), t.alias("value")))
-    located = F.transform("external", lambda t: F.struct(F.lit(PREFIX + "onnx:external_data_location").alias("name"), t.alias("value")))
-    counted = F.array(F.struct(F.concat(F.lit(PREFIX), kind, F.lit("_count")).alias("name"), F.size("threats").cast("string").alias("value")))
-    rows = F.filter(F.concat(plain, repeated, counted, located), lambda p: p["value"].isNotNull())
+    headers = F.array(
+        one("safetensors:tensor_count", of("safetensors", F.col("tensors"))),
+        one("safetensors:dtypes", of("safetensors", csv(F.col("dtypes")))),
+        one("safetensors:header_keys", of("safetensors", csv(F.col("header_keys")))),
+        one("gguf:architecture", of("gguf", F.col("architecture"))),
+        one("gguf:quantization", of("gguf", F.col("quantization"))),
+        one("gguf:metadata_keys", of("gguf", csv(F.col("metadata_keys")))),
+        one("gguf:chat_template", of("gguf", F.when(F.size(templates) > 0, "present"))),
+        one("gguf:chat_template_length", of("gguf", F.when(F.size(templates) > 0, F.aggregate(templates, F.lit(0), lambda n, t: n + F.char_length(t["body"]))))),
+        one("gguf:chat_template_sha256", of("gguf", F.when(F.size(templates) > 0, F.sha2(F.try_element_at(templates, F.lit(1))["body"].cast("binary"), 256)))),
+    )
+    gguf = F.concat(many("gguf:chat_template_threat", of("gguf", threats)), F.array(one("gguf:chat_template_threat_count", of("gguf", F.when(F.size(templates) > 0, F.size(threats))))))
+    keras = F.concat(
+        F.array(one("keras:container", of("keras", F.col("container")))),
+        many("keras:threat", of("keras", threats)),
+        F.array(
+            one("keras:threat_count", of("keras", F.size(threats))),
+            one("keras:lambda_layers", of("keras", csv(F.col("lambda_layers")))),
+            one("keras:layer_count", of("keras", F.col("layer_count"))),
+            one("keras:version", of("keras", F.col("keras_version"))),
+        ),
+    )
+    onnx = F.concat(
+        F.array(*[one(f"onnx:{k}", of("onnx", F.nullif(F.col(f"onnx.{k}").cast("string"), F.lit("")))) for k in ("ir_version", "producer_name", "producer_version", "graph_name")]),
+        F.array(
+            one("onnx:opsets", of("onnx", csv(F.col("onnx.opsets")))),
+            one("onnx:node_count", of("onnx", F.col("onnx.nodes"))),
+            one("onnx:op_types", of("onnx", csv(F.slice("onnx.op_types", 1, MOST_OPERATORS)))),
+            one("onnx:custom_ops", of("onnx", csv(F.col("custom_ops")))),
+            one("onnx:custom_op_count", of("onnx", F.size("custom_ops"))),
+        ),
+        many("onnx:external_data_location", of("onnx", F.filter("external", lambda x: x != ""))),
+        F.array(one("onnx:external_data_count", of("onnx", F.size("external")))),
+        many("onnx:threat", of("onnx", threats)),
+    )
+    rows = F.filter(F.concat(about, pickled, headers, gguf, keras, onnx), lambda p: p["value"].isNotNull())
     return judged.select("path", F.posexplode(rows).alias("pos", "p")).select("path", "pos", "p.name", "p.value")
 
 

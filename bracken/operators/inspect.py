@@ -7,6 +7,7 @@ Files that no extension and no content claims are left out. Equal files give equ
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import mmap
 
@@ -20,7 +21,10 @@ SCHEMA = (
     "path string, name string, inspector string, framework string, sha256 string, license string, container string, note string, "
     "imports array<struct<module:string,name:string,args:array<string>,via:string,pos:bigint>>, incomplete boolean, unreadable string, carries_pickle boolean, member_unread boolean, is_text boolean, "
     "findings array<string>, lambda_layers array<string>, templates array<struct<key:string,body:string>>, keys_read bigint, keys_total bigint, truncated boolean, "
-    "custom_ops array<string>, external array<string>, tensors bigint, dtypes array<string>, lint array<struct<offset:bigint,severity:string,message:string>>, error string"
+    "custom_ops array<string>, external array<string>, tensors bigint, dtypes array<string>, lint array<struct<offset:bigint,severity:string,message:string,hint:string>>, error string, "
+    "dill boolean, packed string, unpacked_bytes bigint, npy struct<version:string,dtype:string,object_dtype:boolean,shape:string>, members bigint, header_keys array<string>, "
+    "architecture string, quantization bigint, metadata_keys array<string>, layer_count bigint, keras_version string, "
+    "onnx struct<ir_version:bigint,producer_name:string,producer_version:string,graph_name:string,opsets:array<string>,nodes:bigint,op_types:array<string>,subgraphs:bigint>"
 )
 _NAMES = {"safetensors": "SafeTensors", "gguf": "GGUF", "keras": "Keras", "onnx": "ONNX", "pytorch": "PyTorch"}
 
@@ -75,6 +79,7 @@ def _pytorch(data: bytes, out: dict, every_member: bool) -> None:
         if held and not every_member:
             break
         held = True
+        out["members"] = (out["members"] or 0) + 1
         out["note"] = note or out["note"]
         out["incomplete"] |= note == archives.CUT
         if body is None:
@@ -90,8 +95,10 @@ def _pytorch(data: bytes, out: dict, every_member: bool) -> None:
 def _variant(data: bytes, out: dict) -> None:
     def look(body: bytes, whole: bool = True) -> None:
         head = archives.npy(body)
+        out["dill"] = out["dill"] or b"_create_code" in body
         if head:
             out["framework"] = "NumPy"
+            out["npy"] = out["npy"] or {k: head[k] for k in ("version", "dtype", "object_dtype", "shape")}
             out["dtypes"] = sorted({*out["dtypes"], str(head["dtype"])})
             body = body[head["offset"] :]
         found, cut, _ = pickles.facts(body)
@@ -101,7 +108,9 @@ def _variant(data: bytes, out: dict) -> None:
 
     if archives.is_zip(data):
         out["container"] = "zip"
+        out["members"] = 0
         for name, body, note in archives.members(data):
+            out["members"] += 1
             if body is None:
                 out["incomplete"] = True
             else:
@@ -111,10 +120,13 @@ def _variant(data: bytes, out: dict) -> None:
     old = archives.old_joblib(data)
     label, readable = ("zlib", True) if old else archives.compression_of(data)
     out["container"] = label
+    out["packed"] = label
     if label and not readable:
         out["unreadable"] = label
     elif label:
-        look(*(old or archives.decompress(data, label)))
+        body, whole = old or archives.decompress(data, label)
+        out["unpacked_bytes"] = len(body)
+        look(body, whole)
     else:
         look(data)
         out["lint"] = pickles.lint(data)
@@ -126,15 +138,26 @@ def _keras(data: bytes, out: dict) -> None:
     config = None
     if archives.is_zip(data):
         out["container"] = "zip"
-        for name, body, note in archives.members(data, wanted="config.json"):
-            if name == "config.json" and body is not None:
-                out["incomplete"] |= note == archives.CUT
-                try:
-                    config = json.loads(body)
-                except ValueError:
-                    out["findings"] += models.keras_bytes_threats(body)
+        for name, body, note in archives.members(data, wanted=".json"):
+            if name not in ("config.json", "metadata.json") or body is None:
+                continue
+            out["incomplete"] |= note == archives.CUT
+            try:
+                got = json.loads(body)
+            except (ValueError, RecursionError):
+                got = None
+            if name == "config.json":
+                config = got
+                out["findings"] += models.keras_bytes_threats(body) if got is None else []
+            elif isinstance(got, dict):
+                out["keras_version"] = got.get("keras_version")
     elif models.hdf5_at(data) is not None:
-        out["container"], config = "hdf5", models.hdf5_config(data)
+        out["container"], config, out["keras_version"] = "hdf5", models.hdf5_config(data), models.hdf5_version(data)
+    if isinstance(config, dict):
+        inner = config.get("config")
+        layers = inner.get("layers") if isinstance(inner, dict) else None
+        out["layer_count"] = len(layers) if isinstance(layers, list) else None
+        out["keras_version"] = out["keras_version"] or config.get("keras_version")
     if config is not None:
         out["findings"] += models.keras_threats(config)
     elif not out["findings"]:
@@ -151,7 +174,11 @@ def _gguf(data: bytes, out: dict) -> None:
     out["keys_read"], out["keys_total"], out["truncated"] = got["read"], got["total"], got["truncated"]
     texts = {k: v for k, kind, v in got["entries"] if kind == models.GGUF_STRING}
     out["license"] = texts.get("general.license") or texts.get("license")
-    out["templates"] = [{"key": k, "body": texts[k]} for k in sorted(texts) if k == "tokenizer.chat_template" or k.startswith("tokenizer.chat_template.")]
+    out["architecture"] = texts.get("general.architecture") or next((v for k, v in texts.items() if "architecture" in k), None)
+    values = {k: v for k, _, v in got["entries"]}
+    out["quantization"] = next((int(v) for k, v in values.items() if ("file_type" in k or "quantization" in k) and isinstance(v, int)), None)
+    out["metadata_keys"] = [k for k, _, _ in got["entries"]]
+    out["templates"] = [{"key": k, "body": texts[k]} for k in sorted(texts) if texts[k] and (k == "tokenizer.chat_template" or k.startswith("tokenizer.chat_template."))]
 
 
 def _onnx(data: bytes, out: dict) -> None:
@@ -160,6 +187,8 @@ def _onnx(data: bytes, out: dict) -> None:
         out["error"] = "Unparsable ONNX"
     out["truncated"], out["external"] = got["truncated"], list(dict.fromkeys(got["external"]))
     out["custom_ops"] = list(dict.fromkeys(f"{d}.{op}" for d, op in got["nodes"] if d not in models.STANDARD_DOMAINS))
+    about = {k: got[k] for k in ("ir_version", "producer_name", "producer_version", "graph_name", "subgraphs")}
+    out["onnx"] = about | {"opsets": [f"{d or 'ai.onnx'}:{v}" for d, v in got["opsets"]], "nodes": len(got["nodes"]), "op_types": list(dict.fromkeys(op for _, op in got["nodes"]))}
 
 
 def _mapped(path: str):
@@ -176,26 +205,48 @@ def look(path: str, data: bytes | None, every_member: bool = False, cut: bool =
     whole = _mapped(path) if cut else None
     try:
         out = _look(path, data if whole is None else whole, every_member, cut and whole is None)
+    except Exception as problem:  # a hostile file must not end the scan of others
+        out = _blank(path) | {"inspector": "unknown", "error": f"{type(problem).__name__}", "incomplete": True}
     finally:
         if whole is not None:
-            whole.close()
+            with contextlib.suppress(BufferError):  # a part that is still held: the map goes with it
+                whole.close()
     if out is not None and cut and out["inspector"]:
         out["sha256"] = sha256 or (out["sha256"] if whole is not None else None)
     return out
 
 
-def _look(path: str, data: bytes | None, every_member: bool, cut: bool) -> dict | None:
-    name = path.replace("\\", "/").rsplit("/", 1)[-1]
+def _blank(path: str) -> dict:
     out: dict = dict.fromkeys(x.strip().split(" ")[0] for x in _columns())
     out |= {k: [] for k in ("imports", "findings", "lambda_layers", "templates", "custom_ops", "external", "dtypes", "lint")}
-    out |= {k: False for k in ("incomplete", "carries_pickle", "member_unread", "is_text", "truncated")}
-    out |= {"path": path, "name": name}
+    out |= {k: False for k in ("incomplete", "carries_pickle", "member_unread", "is_text", "truncated", "dill")}
+    return out | {"path": path, "name": path.replace("\\", "/").rsplit("/", 1)[-1]}
+
+
+def _fitting(value: object, kind: pa.DataType) -> object:
+    """The value as a column of that type holds it: lone surrogates escaped, numbers beyond 64 bits at their bounds."""
+    if value is None:
+        return None
+    if pa.types.is_list(kind):
+        return [_fitting(v, kind.value_type) for v in value] if isinstance(value, list) else None
+    if pa.types.is_struct(kind):
+        return {f.name: _fitting(value.get(f.name), f.type) for f in kind} if isinstance(value, dict) else None
+    if pa.types.is_string(kind):
+        return str(value).encode("utf-8", "backslashreplace").decode()
+    if pa.types.is_boolean(kind):
+        return bool(value)
+    return max(-(1 << 63), min((1 << 63) - 1, value)) if isinstance(value, int) else None
+
+
+def _look(path: str, data: bytes | None, every_member: bool, cut: bool) -> dict | None:
+    out = _blank(path)
+    name = out["name"]
     if data is None:
         return out | {"error": "unreadable"}
     kind = _route(name, data)
     if kind is None and cut and pickles.head_is_pickle(data)[1]:
         kind = "variant"  # the rest of the file might show a pickle
-    if kind is None:
+    if kind in (None, "requirements"):  # the latter belong to the dependencies
         return None
     out |= {"inspector": kind, "sha256": hashlib.sha256(data).hexdigest(), "framework": _NAMES.get(kind)}
     if kind == "pytorch":
@@ -205,11 +256,11 @@ def _look(path: str, data: bytes | None, every_member: bool, cut: bool) -> dict
         _variant(data, out)
     elif kind == "safetensors":
         got = models.safetensors(data)
-        out |= {"tensors": got["tensors"], "dtypes": got["dtypes"], "license": got["license"]} if got else {"error": "Invalid Header"}
+        out |= {"tensors": got["tensors"], "dtypes": got["dtypes"], "license": got["license"], "header_keys": got["header_keys"]} if got else {"error": "Invalid Header"}
     elif kind in ("gguf", "keras", "onnx"):
         {"gguf": _gguf, "keras": _keras, "onnx": _onnx}[kind](data, out)
     out["incomplete"] |= cut
-    out["lint"] = [{"offset": a, "severity": b, "message": c} for a, b, c in out["lint"]]
+    out["lint"] = [{"offset": a, "severity": b, "message": c, "hint": d} for a, b, c, d in out["lint"]]
     return out
 
 
@@ -233,7 +284,7 @@ def facts(files: DataFrame, every_member: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             got = [look(p.as_py() or "", c.as_py(), every_member, bool(k.as_py()), s.as_py()) for p, c, k, s in zip(*batch.columns)]
-            got = [g for g in got if g is not None]
+            got = [{f.name: _fitting(g[f.name], f.type) for f in schema} for g in got if g is not None]
             if got:
                 yield pa.RecordBatch.from_pylist(got, schema=schema)
 
@@ -241,6 +292,15 @@ def facts(files: DataFrame, every_member: bool = False) -> DataFrame:
     return files.select("path", "content", *more).mapInArrow(run, SCHEMA)
 
 
+def dependencies(files: DataFrame) -> DataFrame:
+    """(name, version) of the lines of requirements files."""
+    from bracken.functions.containers import route
+    from bracken.sources.files import requirement
+
+    lines = files.where(route(F.col("path")) == "requirements").select(F.explode(F.split(F.decode("content", "UTF-8"), r"\r\n|\r|\n")).alias("line"))
+    return lines.select(requirement(F.col("line")).alias("r")).where("r IS NOT NULL").select("r.*")
+
+
 def _named(prefix: str, items: Column) -> Column:
     return F.transform(items, lambda x: F.concat(F.lit(prefix), x))
 
@@ -271,12 +331,12 @@ def keras_label(threats: Column, layers: Column) -> Column:
     return F.concat(F.lit("CRITICAL (Keras Lambda Code Execution — "), F.when(detail == "", F.array_join(threats, "; ")).otherwise(detail), F.lit(")"))
 
 
-def onnx_label(threats: Column) -> Column:
+def onnx_label(threats: Column, truncated: Column) -> Column:
     head = "ONNX_EXTERNAL_DATA_ESCAPE: "
     outside = F.transform(F.filter(threats, lambda t: t.startswith(head)), lambda t: F.substring(t, len(head) + 1, 1 << 20))
     custom, external = _count(threats, "ONNX_CUSTOM_OP: "), _count(threats, "ONNX_EXTERNAL_DATA: ")
     some = _parts(F.when(custom > 0, F.concat(custom.cast("string"), F.lit(" custom operator(s)"))), F.when(external > 0, F.concat(external.cast("string"), F.lit(" external tensor(s)"))))
-    return F.when(F.size(outside) > 0, F.concat(F.lit("CRITICAL (ONNX External Data Escapes Model Directory: "), F.array_join(outside, ", "), F.lit(")"))).when(some != "", F.concat(F.lit("MEDIUM (ONNX: "), some, F.lit(")"))).otherwise("LOW")
+    return F.when(F.size(outside) > 0, F.concat(F.lit("CRITICAL (ONNX External Data Escapes Model Directory: "), F.array_join(outside, ", "), F.lit(")"))).when(some != "", F.concat(F.lit("MEDIUM (ONNX: "), some, F.lit(")"))).when(truncated, "MEDIUM (ONNX graph incomplete: depth limit reached)").otherwise("LOW")
 
 
 def judge(found: DataFrame, strict: bool = False) -> DataFrame:
@@ -300,7 +360,7 @@ def judge(found: DataFrame, strict: bool = False) -> DataFrame:
         .when(kind == "variant", variant)
         .when(kind == "gguf", templates.risk_label(t, F.col("truncated"), F.col("keys_read"), F.col("keys_total")))
         .when(kind == "keras", F.when(size > 0, keras_label(t, F.col("lambda_layers"))).when(F.col("truncated"), "MEDIUM (Keras config incomplete: read limit reached)").otherwise("LOW"))
-        .when(kind == "onnx", onnx_label(t))
+        .when(kind == "onnx", onnx_label(t, F.col("truncated")))
         .otherwise("LOW")
     )
     risk = F.when(F.col("incomplete") & (risk == "LOW"), "MEDIUM (Scan Incomplete)").otherwise(risk)

@@ -9,17 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bracken.plans import artifacts, boms
+from bracken.plans import artifacts, boms, scans
 
 FLAGSHIP = "severity_summary"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return boms.QUERIES | artifacts.QUERIES
+    return boms.QUERIES | artifacts.QUERIES | scans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return boms.ORACLE_SQL | artifacts.ORACLE_SQL
+    return boms.ORACLE_SQL | artifacts.ORACLE_SQL | scans.ORACLE_SQL
 
 
 _shipped: set[str] = set()

@@ -30,10 +30,12 @@ def _inflate(raw: bytes, method: int, limit: int) -> bytes | None:
     return None
 
 
-def local_members(data: bytes, most: int = 32) -> list[tuple[str, bytes]]:
-    """Members by their local headers, for a zip file without a directory."""
+def local_members(data: bytes, most: int = MOST_MEMBERS) -> list[tuple[str, bytes | None]]:
+    """Members by their local headers, for a zip file without a directory; what more there is has the name ""."""
     out, at = [], data.find(b"PK\x03\x04")
-    while at != -1 and at + 30 <= len(data) and len(out) < most:
+    while at != -1 and at + 30 <= len(data):
+        if len(out) == most:
+            return [*out, ("", None)]
         flags, method = struct.unpack_from("<HH", data, at + 6)
         size, name_size, extra = struct.unpack_from("<I4xHH", data, at + 18)
         body = at + 30 + name_size + extra
@@ -60,8 +62,10 @@ def members(data: bytes, limit: int = MEMBER_LIMIT, most: int = MOST_MEMBERS, wa
         z = zipfile.ZipFile(_file(data))
     except Exception:
         for name, got in local_members(data):
-            if name.endswith(wanted):
-                yield name, got, CUT if got is not None and len(got) >= MEMBER_LIMIT else "recovered"
+            if got is None:
+                yield "", None, "members_capped"
+            elif name.endswith(wanted):
+                yield name, got, CUT if len(got) >= MEMBER_LIMIT else "recovered"
         return
     for i, info in enumerate(x for x in z.infolist() if x.filename.endswith(wanted)):
         if i == most:

@@ -182,7 +182,7 @@ def test_long_literals_and_cut_templates(spark):
 
 def test_ancestors_and_lint(spark):
     assert spark.range(1).select(rules.ancestors(F.lit("a.b.c"))).first()[0] == ["a.b.c", "a.b", "a"]
-    assert [s for _, s, _ in pickles.lint(call("own.thing", "T"))] == ["ERROR", "WARNING"]
+    assert [s for _, s, *_ in pickles.lint(call("own.thing", "T"))] == ["ERROR", "WARNING"]
     assert pickles.lint(b"\xff\xff") == []
 
 

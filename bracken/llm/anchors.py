@@ -27,7 +27,10 @@ from . import _kit as kit
 
 #: Windows in a segment at most, so that a mask fits 64 bits. Longer runs of one anchor are cut into more segments.
 MOST = 64
-BLOCK_BYTES = 2 << 20
+#: Bytes of a block: BLOCK_BYTES in a small table, up to MOST_BLOCK_BYTES in a large one, so that there are about BLOCKS of
+#: them before they grow in number. Messages go from each block to each bucket, so their count is the square of the blocks';
+#: there are never more of them than anchors.
+BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCKS = 2 << 20, 8 << 20, 1024
 _BLOCK = "__block"  # no column of a table
 
 
@@ -150,6 +153,13 @@ def _shared(t: pa.Table) -> pa.Table:
     })
 
 
+def _apart(new: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    """Marks as new what follows other bytes of the same hash. An equal content that stands beyond it makes one more group,
+    which the matcher finds like any other."""
+    at = np.flatnonzero(~new)
+    new[at] = ~kit.same_spans(text, start[at - 1], start[at], size[at])
+
+
 def _sent(plan: Plan, buckets: int, targets: int, t: pa.Table, replies: pa.Table) -> pa.Table:
     schema = pa.schema([("target", pa.int64()), (_BLOCK, pa.int64())] + [(k, pa.binary()) for k in ("h", "size", "text_len", "text", "owners", "row", "start", "doc")])
     if not t.num_rows or not replies.num_rows:
@@ -188,7 +198,9 @@ def _sent(plan: Plan, buckets: int, targets: int, t: pa.Table, replies: pa.Table
     if not n:
         return schema.empty_table()
     new = np.ones(n, bool)
-    new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1]) | (x["size"][1:] != x["size"][:-1])
+    long = x["to"] - x["from"]
+    new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1]) | (x["size"][1:] != x["size"][:-1]) | (long[1:] != long[:-1])
+    _apart(new, whole, x["from"], long)
     at = np.flatnonzero(new)
     owners = np.diff(np.append(at, n))
     target = _split(x["h"][at], targets)
@@ -222,7 +234,8 @@ def _matched(plan: Plan, t: pa.Table) -> pa.Table:
     o = np.lexsort((doc[first_owner], size, c, h))
     new = np.ones(len(o), bool)
     a, b = o[1:], o[:-1]
-    new[1:] = (h[a] != h[b]) | (c[a] != c[b]) | (size[a] != size[b])
+    new[1:] = (h[a] != h[b]) | (c[a] != c[b]) | (size[a] != size[b]) | (length[a] != length[b])
+    _apart(new, text, (end - length)[o], length[o])
     group = np.cumsum(new) - 1
     rep = o[new]  # one of each content, from its first document
     of = np.empty(len(o), np.int64)
@@ -273,11 +286,12 @@ def _finished(plan: Plan, t: pa.Table, marks: pa.Table) -> pa.Table:
     return plan.removed(t2, buf, off, np.cumsum(edge[:-1]) > 0, bounds, spans)
 
 
-def remove_repeats(docs: DataFrame, plan: Plan, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, plan: Plan, block_bytes: int | None = None, carry: bool = False) -> DataFrame:
     """Runs the five steps over doc_id and text of all rows; returns plan.schema. carry: `plan.removed` sees all columns."""
     more = [F.col(f"`{c}`") for c in docs.columns if carry and c not in ("doc_id", "text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = block_bytes or min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, total // BLOCKS))
     blocks = max(48, math.ceil(total / block_bytes))
     buckets = targets = blocks
     dealt = docs.withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))

@@ -123,8 +123,6 @@ class Channel:
                     v = c + skip
                     if (a, b) not in new or v < new[(a, b)][0]:
                         new[(a, b)] = (v, path)
-            if len(new) > 48:
-                new = dict(sorted(new.items(), key=lambda x: x[1][0])[:48])
             states, before = new, ch
         best = min(((c + self.cost[a][b][0], path) for (a, b), (c, path) in states.items()), key=lambda x: x[0])[1]
         out = []

@@ -366,3 +366,81 @@ def test_wrappers_merge_in_rounds(spark, monkeypatch):
     sent = wrappers.extract_pages(pages, learnt).collect()
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
     assert Counter(map(tuple, wrappers.extract_pages(pages, wrappers.learn(pages)).collect())) == Counter(map(tuple, sent))
+
+
+def test_license_base_against_brute_force(docs):
+    rows = _rows() + [(50, "The MIT License, mit  license; CC-BY cc by " * 400, "tie", 1), (51, "Apache\nLicense", "tie", 1)]
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs.sparkSession.createDataFrame(rows, docs.schema)).collect())
+    want = Counter()
+    for d, t, *_ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        hits = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        places = [i for i, _ in hits]
+        want[d, len(w), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in hits}))] += 1
+    assert got == want
+
+
+def test_media_digests_and_tensors(docs):
+    got = jpeg.digests(docs).collect()
+    want = Counter()
+    for d, t, *_ in _rows():
+        raw = (t or "").encode()
+        stored = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        want[d, len(raw), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-32:])] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    same = {}
+    for r, (_, t, *_) in zip(sorted(got, key=lambda r: (r.payload_sha256)), sorted(_rows(), key=lambda x: str(x[1]))):
+        same.setdefault(r.payload_sha256, set()).add((r.media_sha256, r.feature, r.media_bytes))
+    assert all(len(x) == 1 for x in same.values())
+    for r in jpeg.tensors(docs.where("doc_id in (10, 32, 36)")).collect():
+        assert len(r.rgb) == r.height * r.width * 3 and r.rgb == jpeg.Image(bytes(r.jpeg)).rgb().tobytes()
+
+
+def test_quality_fit_tells_classes_apart():
+    rnd = random.Random(4)
+    good = [" ".join(rnd.choice("river stone garden winter letter".split()) for _ in range(40)) for _ in range(150)]
+    bad = [" ".join(rnd.choice("click buy cheap now offer".split()) for _ in range(40)) for _ in range(150)]
+    model = quality.fit_model(good[:120] + bad[:120], [1] * 120 + [0] * 120)
+    p = quality._probability(model, quality.raw_scores(model, *kit.utf8(pa.array(good[120:] + bad[120:] + [""]))))
+    assert (p[:30] >= quality.KEEP_FROM).all() and (p[30:60] < quality.KEEP_FROM).all()
+
+
+def test_odd_tables_do_not_stop_any_operator(spark, docs):
+    """Nulls, empty texts, repeats and clashing columns: a row for each row, equal rows alike; an empty table: no rows."""
+    labels = spark.createDataFrame([(d, i % 2, i % 2) for i, (d, *_) in enumerate(_rows())] + [(None, 1, 1), (10, None, None)], "doc_id long, quality int, toxic int")
+    counts = toxicity.letter_counts(docs)
+    tox, good = toxicity.train(docs, labels, counts), quality.train(docs, labels)
+    runs = [licenses.scan, jpeg.digests, bpe.round_trip_digests, lambda d: quality.judge(d, good), lambda d: toxicity.scores(d, tox, counts)]
+    for run in runs:
+        got = run(docs).collect()
+        assert len(got) == len(_rows()) and len(set(x for x in got if x.doc_id == 31)) == 1
+        assert run(docs.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, None, "<p>a", 1), (1, None, "<p>a", 1), (None, "", None, 1), (2, "x", "", 2)], "page_id long, url string, html string, host int")
+    got = wrappers.extract_pages(pages, wrappers.learn(pages)).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
+    assert wrappers.extract_pages(pages.limit(0), wrappers.learn(pages.limit(0))).count() == 0
+
+
+def test_pipeline_keeps_what_no_stage_rejects(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    clean = [text(80) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)]
+    passage = text(60)
+    rows += [(20, clean[0], "en", "s", 1), (21, clean[1] + " more", "en", "s", 1), (22, "too short", "en", "s", 9), (23, "x " * 90, "en", "s", 1), (24, None, None, None, None), (25, text(40) + " " + passage, "en", "s", 1), (26, text(40) + " " + passage, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {*range(12), 25, 26}  # without labels the models reject nothing
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cut = dict((i, x) for i, x, *_ in rows)
+    cut[26] = " ".join(cut[26].split()[:40])  # the passage that document 25 has
+    assert {r.doc_id: r.length for r in got} == {i: len(t.encode(cut[i], add_special_tokens=False).ids) + 1 for i in (*range(12), 25, 26)}
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.columns == empty.columns and not out.count(), name

@@ -218,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while edges.take(1):
-        least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        least = saved(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
         above = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
         up = saved(least.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
         if labels is None:
@@ -229,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
         ua, ub = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         nxt = edges.join(ub, "b").join(ua, "a", "left").select(F.coalesce("ua", "a").alias("x"), F.col("ub").alias("y")).where("x <> y")
         nxt = saved(nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        for old in (edges, up, labels):
+        for old in (edges, least, up, labels):
             if old is not None:
                 drop(old)
         edges, labels = nxt, now

@@ -1,16 +1,20 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Documents longer than a sequence are cut into whole sequences and one shorter first piece; only pieces shorter than a
-sequence need packing. A superstep takes the pieces of one length, longest first, as a block ordered by rank; gaps are
-kept sorted by size. A sweep matches the block with its successors: the smallest gap that holds the length, then the
-next; pieces that want the same gap are told apart by rank, and what is left over opens new sequences. Gaps shrink, and
-the next superstep follows.
-
-Both sides are run-length compressed: all pieces of a length, and all gaps of a size made by the same step, are a count.
-So a round costs the number of size classes (at most the capacity), not of pieces, and the schedule that comes out of it
-is a list of runs `length, from_rank, to_rank -> from_sequence, offset`. Ranks are dealt out in the cluster by
-(length, salt) groups, whose counts are the only thing gathered; then each piece finds its run by a join on salted
-ranges. No group of more than one salt is ever sorted by one task.
+Documents longer than a sequence are cut into whole sequences and one shorter first piece. A round takes all pieces that have
+no place and all gaps, one row each:
+
+1. If pieces are longer than every gap, sequences are opened: as many as those pieces need at least (in the first round half
+   of that, so that equal ones can still pair). A gap that holds several of the longest piece stands in the sweep as that
+   many slots.
+2. Slots and pieces are range-sorted together by size, longest first, over the cluster; equal sizes are spread by hash.
+3. Each partition sweeps its run: a piece takes its successor, the smallest slot before it that is still free. Pieces that
+   want the same slot are told apart by their rank in the sort. What a partition cannot match is left over as a run of
+   pieces, then a run of slots; from the partitions' counts of both (all that is gathered) follows which runs meet, and
+   they are joined by rank.
+4. Gaps shrink by what they took, and the next round follows until every piece has its place.
+
+Rounds are few: every round fills each gap that can take a piece (five for the documents at hand). No group of equal lengths
+is dealt to one task, and nothing grows on the driver but two counts a partition and the counts of lengths.
 
 Defined results: null counts as empty; an empty document is its end token alone; equal rows are packed like any others;
 extra columns are ignored; an empty table gives no rows. Sequence numbers are not meaningful beyond equality.
@@ -18,7 +22,7 @@ extra columns are ignored; an empty table gives no rows. Sequence numbers are no
 
 from __future__ import annotations
 
-import bisect
+import functools
 import math
 import re
 import uuid
@@ -27,53 +31,43 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _kit as kit, bpe
 
 CAPACITY, END = 1024, 2
-#: Rows that share a (length, salt) group on average, at most.
-GROUP_ROWS = 20_000
-
-
-def schedule(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, how many, first sequence, offset), given the number of pieces of each length."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size -> runs of sequences (first, how many)
-    sizes: list[int] = []  # sorted, those with a run
-    out, opened = [], 0
-    for length in sorted((n for n in counts if counts[n]), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect.bisect_left(sizes, length)
-            if i == len(sizes):
-                each = capacity // length  # new sequences take as many of this length as they hold
-                whole, rest = divmod(left, each)
-                for many, per in ((whole, each), (1 if rest else 0, rest)):
-                    if many:
-                        for k in range(per):
-                            out.append((length, rank, many, opened, k * length))
-                            rank += many
-                        _put(gaps, sizes, capacity - per * length, (opened, many))
-                        opened += many
-                break
-            size = sizes[i]
-            first, many = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size], sizes[i]
-            take = min(many, left)
-            if take < many:
-                _put(gaps, sizes, size, (first + take, many - take))
-            out.append((length, rank, take, first, capacity - size))
-            rank, left = rank + take, left - take
-            _put(gaps, sizes, size - length, (first, take))
-    return out
-
-
-def _put(gaps, sizes, size, run):
-    if size:
-        if size not in gaps:
-            bisect.insort(sizes, size)
-        gaps[size].append(run)
+#: Rows of a sweep's partition on average, at most.
+SWEEP_ROWS = 200_000
+
+
+def needed(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences that pieces of these lengths take at least: by their sum, and by how many of the long ones fit in one."""
+    by_sum = math.ceil(sum(n * m for n, m in counts.items()) / capacity)
+    each = (math.ceil(sum(m for n, m in counts.items() if n * (k + 1) > capacity) / k) for k in range(1, 9))
+    return max(by_sum, *each)
+
+
+def bridges(pieces: dict[int, int], slots: dict[int, int]) -> tuple[dict, dict]:
+    """Which left-over pieces and slots of sweep partitions meet: {partition: runs (first, end, number of the first)}.
+
+    A partition's pieces take the last slots of the nearest partition before it that has any. Numbers of a run of slots
+    count down: the last slot has the least.
+    """
+    of_pieces, of_slots, free, number = defaultdict(list), defaultdict(list), [], 0
+    for p in sorted({*pieces, *slots}):
+        at, many = 0, pieces.get(p, 0)
+        while at < many and free:
+            q, left = free.pop()
+            take = min(many - at, left)
+            of_pieces[p].append((at, at + take, number))
+            of_slots[q].append((left - take, left, number))
+            at, number = at + take, number + take
+            if left > take:
+                free.append((q, left - take))
+        if slots.get(p):
+            free.append((p, slots[p]))
+    return dict(of_pieces), dict(of_slots)
 
 
 def added_tokens(tokenizer) -> dict[str, int]:
@@ -208,42 +202,111 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_MATCHED, _PIECE, _SLOT = 0, 1, 2
+_SWEPT = "state int, part int, nth long, id long, length int, seq long, slot int, used int"
+
+
+def _sweep(batches):
+    """One sorted partition of slots (kind 0) and pieces (kind 1): who takes what, and what is left over of both."""
+    t = pa.Table.from_batches(list(batches))
+    if not t.num_rows:
+        return
+    size, kind, ident, slot, used = (t[k].to_numpy() for k in ("size", "kind", "id", "slot", "used"))
+    free: list[int] = []
+    takes, taken, alone = [], [], []
+    for i, k in enumerate(kind.tolist()):
+        if not k:
+            free.append(i)
+        elif free:
+            takes.append(i)
+            taken.append(free.pop())
+        else:
+            alone.append(i)
+    part = TaskContext.get().partitionId()
+    takes, taken, alone, free = (np.array(x, np.int64) for x in (takes, taken, alone, free))
+    for state, p, s in ((_MATCHED, takes, taken), (_PIECE, alone, None), (_SLOT, None, free)):
+        n = len(p if p is not None else s)
+        if n:
+            own = [pa.array(np.full(n, state, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n))]
+            own += [pa.array(ident[p]), pa.array(size[p], pa.int32())] if p is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+            own += [pa.array(ident[s]), pa.array(slot[s], pa.int32()), pa.array(used[s], pa.int32())] if s is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(own, ["state", "part", "nth", "id", "length", "seq", "slot", "used"])
+
+
+def _numbered(left: DataFrame, runs: tuple[dict, dict]) -> DataFrame:
+    """Left-over rows with the number by which a piece and a slot meet; null: none."""
+
+    def run(batches):
+        for b in batches:
+            state, part, nth = (b.column(k).to_numpy() for k in ("state", "part", "nth"))
+            number = np.full(len(nth), -1, np.int64)
+            for kind, of in ((_PIECE, runs[0]), (_SLOT, runs[1])):
+                for p in np.unique(part[state == kind]).tolist():
+                    rows = np.flatnonzero((state == kind) & (part == p))
+                    for first, end, base in of.get(p, ()):
+                        at = rows[(nth[rows] >= first) & (nth[rows] < end)]
+                        number[at] = base + (nth[at] - first if kind == _PIECE else end - 1 - nth[at])
+            yield b.append_column("number", pa.array(number, mask=number < 0))
+
+    return left.mapInArrow(run, _SWEPT + ", number long")
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces of known length (1 to capacity)."""
-    rows = saved(cut)  # read twice: counted, then placed
-    n = rows.count()
-    salts = max(1, math.ceil(n / GROUP_ROWS))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
-    per = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    # Gathered by length alone: at most `capacity` counts. The salts' first ranks stay in the cluster.
-    totals = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = schedule(totals, capacity)
-    from pyspark.sql import Window
-
-    before = per.withColumn("_first", F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).drop("n")
-    ranked = salted.join(before, ["length", "_salt"]).withColumn(
-        "_rank", F.col("_first") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    )
-    by: dict[int, list] = defaultdict(list)
-    for length, rank, many, first, offset in runs:
-        by[length].append((rank, first, offset))
-    table = {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v))) for k, v in by.items()}
-
-    def place(batches):
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for k in np.unique(length):
-                w = np.flatnonzero(length == k)
-                ranks, first, offset = table[int(k)]
-                i = np.searchsorted(ranks, rank[w], side="right") - 1
-                seq[w], off[w] = first[i] + rank[w] - ranks[i], offset[i]
-            keep = [c for c in b.schema.names if not c.startswith("_")]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
-
-    names = [f for f in cut.schema.fields]
-    ordered = ranked.select(*[f.name for f in names], "_rank")
-    return ordered.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long")
+    spark = cut.sparkSession
+    rows = saved(cut.withColumn("_id", F.monotonically_increasing_id()))
+    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.select(F.col("_id").alias("id"), F.col("length").cast("int").alias("length"))
+    gaps, placed, opened = spark.createDataFrame([], "seq long, size int, used int"), [], 0
+    old: list[DataFrame] = []
+    while True:
+        found = left.groupBy("length").count().select(F.lit(1).alias("kind"), "length", "count").union(gaps.groupBy("size").count().select(F.lit(0), "size", "count")).collect()
+        lengths, sizes = ({r.length: r[2] for r in found if r.kind == k} for k in (1, 0))
+        if not lengths:
+            break
+        longest, largest = max(lengths), max(sizes, default=0)
+        stuck = {n: m for n, m in lengths.items() if n > largest}
+        new = needed(stuck, capacity) if stuck else 0
+        if not placed and new > fewest:
+            new = -(-new // 2)
+        if new:
+            gaps = gaps.union(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity), F.lit(0)))
+            sizes[capacity] = sizes.get(capacity, 0) + new
+            opened += new
+        n_pieces, n_gaps = sum(lengths.values()), sum(sizes.values())
+        most = max(1, -(-2 * n_pieces // n_gaps))
+        many = F.greatest(F.lit(1), F.least(F.floor(F.col("size") / longest), F.lit(most))).cast("int")
+        several = most > 1 and max(sizes) >= 2 * longest
+        slots = gaps.select("seq", "size", "used", many.alias("many"), (F.explode(F.sequence(F.lit(1), many)) if several else F.lit(1)).alias("slot"))
+        slots = slots.select(F.floor(F.col("size") / F.col("many")).cast("int").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot", "used")
+        items = slots.union(left.select("length", F.lit(1), "id", F.lit(0), F.lit(0)))
+        order = [F.desc("size"), F.asc("kind"), F.xxhash64("id", "slot")]
+        parts = max(fewest, math.ceil((n_pieces + most * n_gaps) / SWEEP_ROWS))
+        swept = saved(items.repartitionByRange(parts, *order).sortWithinPartitions(*order, "id", "slot").mapInArrow(_sweep, _SWEPT))
+        over = swept.where(f"state <> {_MATCHED}").groupBy("state", "part").count().collect()
+        runs = bridges(*({r.part: r["count"] for r in over if r.state == k} for k in (_PIECE, _SLOT)))
+        matched = swept.where(f"state = {_MATCHED}").select("id", "length", "seq", "slot", "used")
+        alone = swept.where(f"state = {_PIECE}")
+        if runs[0]:
+            numbered = _numbered(swept.where(f"state <> {_MATCHED}"), runs)
+            met = numbered.where(f"state = {_PIECE} AND number IS NOT NULL").select("number", "id", "length")
+            matched = matched.union(met.join(numbered.where(f"state = {_SLOT} AND number IS NOT NULL").select("number", "seq", "slot", "used"), "number").drop("number"))
+            alone = numbered.where(f"state = {_PIECE} AND number IS NULL")
+        before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot")) - F.col("length") if several else F.lit(0)
+        got = saved(matched.select("id", "length", "seq", (F.col("used") + before).cast("long").alias("offset")))
+        placed.append(got)
+        more = got.groupBy("seq").agg(F.sum("length").cast("int").alias("more"))
+        shrunk = gaps.join(more, "seq", "left").select("seq", (F.col("size") - F.coalesce("more", F.lit(0))).alias("size"), (F.col("used") + F.coalesce("more", F.lit(0))).alias("used"))
+        gaps = saved(shrunk.where(F.col("size") >= min(lengths)))
+        left = alone.select("id", "length")
+        for x in old:
+            drop(x)
+        old = [swept]
+    names = cut.columns
+    if not placed:
+        return rows.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    places = functools.reduce(DataFrame.union, placed).select(F.col("id").alias("_id"), F.col("seq").alias("sequence_id"), "offset")
+    return rows.join(places, "_id").select(*names, "sequence_id", "offset")
 
 
 def best_fit_packing(spark, sf_dir: str) -> DataFrame:

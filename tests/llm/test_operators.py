@@ -444,3 +444,53 @@ def test_pipeline_keeps_what_no_stage_rejects(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and not out.count(), name
+
+
+def _best_fit(lengths, capacity=1024):
+    """Sequences that plain best fit takes, longest piece first."""
+    import bisect
+
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(i) if i < len(gaps) else capacity
+        n += i == len(gaps) and gap == capacity
+        if gap > x:
+            bisect.insort(gaps, gap - x)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["tiny", "mixed"])
+def test_packing_rounds(spark, monkeypatch, kind):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 60)  # many partitions, so that left-over runs meet
+    rnd = random.Random(7)
+    lengths = {"any": [rnd.randint(1, 1024) for _ in range(700)], "tiny": [rnd.randint(1, 30) for _ in range(900)], "equal": [300] * 400, "mixed": [1024] * 20 + [2] * 300 + [rnd.randint(200, 700) for _ in range(300)]}[kind]
+    rows = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(rows).collect()
+    assert Counter(r.doc_id for r in got) == Counter(range(len(lengths)))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(by) <= 1.02 * _best_fit(lengths) + 1
+
+
+def test_bridges_are_a_stack():
+    rnd = random.Random(8)
+    for _ in range(200):
+        pieces, slots = ({p: rnd.randint(0, 4) for p in range(6)} for _ in range(2))
+        runs = packing.bridges(pieces, slots)
+        number = lambda of, down: {(p, i): (base + (end - 1 - i if down else i - first)) for p, x in of.items() for first, end, base in x for i in range(first, end)}
+        got = {v: k for k, v in number(runs[1], True).items()}
+        want, free = {}, []
+        for p in range(6):
+            for i in range(pieces[p]):
+                if free:
+                    want[p, i] = free.pop()
+            free += [(p, i) for i in range(slots[p])]
+        assert {k: got[v] for k, v in number(runs[0], False).items()} == want

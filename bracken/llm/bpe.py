@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -178,7 +179,7 @@ class Ranks:
 
     def encode_rows(self, buf, off) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and each row's first."""
-        values, which, bounds = self.pieces(buf, off, lambda ids: np.array(ids, np.uint32).tobytes())
+        values, which, bounds = self.pieces(buf, off, lambda ids: array("I", ids).tobytes())
         size = np.array([len(v) // 4 for v in values], np.int64)
         flat = np.frombuffer(b"".join(values), np.uint32)
         base = (np.cumsum(size) - size)[which]

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import _kit as kit, bpe
 
 CAPACITY, END = 1024, 2
-#: Rows of a sweep's partition on average, at most.
-SWEEP_ROWS = 200_000
+#: Rows of a sweep's partition on average; in large tables up to MOST_SWEEP_ROWS, so that there are about SWEEPS of them.
+SWEEP_ROWS, MOST_SWEEP_ROWS, SWEEPS = 50_000, 2_000_000, 4096
 
 
 def needed(counts: dict[int, int], capacity: int = CAPACITY) -> int:
@@ -108,8 +108,9 @@ class Words(bpe.Ranks):
         return piece.decode("latin-1").translate(self.letters)
 
     def encode_pieces(self, pieces):
-        tokenize = self.tokenizer.model.tokenize
-        return ([t.id for t in tokenize(self._letters(p))] for p in pieces)
+        tokenize, shown = self.tokenizer.model.tokenize, self._letters(b"".join(pieces))  # one letter a byte
+        ends = np.cumsum([len(p) for p in pieces]).tolist()
+        return [[t.id for t in tokenize(shown[a:b])] for a, b in zip([0, *ends], ends)]
 
 
 def encode_rows(own: bpe.Ranks, column: pa.Array, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +256,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces of known length (1 to capacity)."""
     spark = cut.sparkSession
     rows = saved(cut.withColumn("_id", F.monotonically_increasing_id()))
-    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = rows.select(F.col("_id").alias("id"), F.col("length").cast("int").alias("length"))
     gaps, placed, opened = spark.createDataFrame([], "seq long, size int, used int"), [], 0
     old: list[DataFrame] = []
@@ -267,7 +267,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         longest, largest = max(lengths), max(sizes, default=0)
         stuck = {n: m for n, m in lengths.items() if n > largest}
         new = needed(stuck, capacity) if stuck else 0
-        if not placed and new > fewest:
+        if not placed and new > 64:
             new = -(-new // 2)
         if new:
             gaps = gaps.union(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity), F.lit(0)))
@@ -281,7 +281,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         slots = slots.select(F.floor(F.col("size") / F.col("many")).cast("int").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot", "used")
         items = slots.union(left.select("length", F.lit(1), "id", F.lit(0), F.lit(0)))
         order = [F.desc("size"), F.asc("kind"), F.xxhash64("id", "slot")]
-        parts = max(fewest, math.ceil((n_pieces + most * n_gaps) / SWEEP_ROWS))
+        n_rows = n_pieces + most * n_gaps
+        parts = max(2, math.ceil(n_rows / min(MOST_SWEEP_ROWS, max(SWEEP_ROWS, n_rows // SWEEPS))))
         swept = saved(items.repartitionByRange(parts, *order).sortWithinPartitions(*order, "id", "slot").mapInArrow(_sweep, _SWEPT))
         over = swept.where(f"state <> {_MATCHED}").groupBy("state", "part").count().collect()
         runs = bridges(*({r.part: r["count"] for r in over if r.state == k} for k in (_PIECE, _SLOT)))

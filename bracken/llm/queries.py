@@ -48,8 +48,9 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FRO
 g AS (SELECT r, doc_id, CASE WHEN doc_id IS NULL OR len(w) = 0 THEN NULL WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS s FROM d),
 n AS (SELECT row_number() OVER () AS k, s, len(s) AS size, count(*) AS rows, min(doc_id) AS least FROM g WHERE s IS NOT NULL GROUP BY s),
-t AS (SELECT k, size, unnest(s) AS x FROM n),
-l AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.x = b.x AND a.k <> b.k AND 5 * a.size >= 4 * b.size AND 5 * b.size >= 4 * a.size GROUP BY a.k, b.k, a.size, b.size HAVING 10 * count(*) >= 8 * (a.size + b.size - count(*))),
+e AS (SELECT k, size, unnest(s) AS x FROM n),
+t AS (SELECT k, size, rank_x FROM e JOIN (SELECT x, row_number() OVER () AS rank_x FROM e GROUP BY x HAVING count(*) > 1) USING (x)),
+l AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.rank_x = b.rank_x AND a.k <> b.k AND 5 * a.size >= 4 * b.size AND 5 * b.size >= 4 * a.size GROUP BY a.k, b.k, a.size, b.size HAVING 10 * count(*) >= 8 * (a.size + b.size - count(*))),
 walk(k, place) AS (SELECT k, k FROM n UNION SELECT walk.k, l.b FROM walk JOIN l ON l.a = walk.place),
 class AS (SELECT walk.k, min(n.least) AS class_id FROM walk JOIN n ON n.k = walk.place GROUP BY walk.k),
 links AS (SELECT l.a AS k, sum(n.rows) AS others FROM l JOIN n ON n.k = l.b GROUP BY l.a)

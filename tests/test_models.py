@@ -50,24 +50,20 @@ def test_memo_reads_are_resolved():
     assert pairs(data) == [("os", "system")]
 
 
-def judged(spark, data, strict):
-    rows = spark.createDataFrame([("f.pkl", data)], "path string, content binary")
-    return inspect.scan(rows, strict).first()
-
-
-@pytest.mark.parametrize("value", [operator.attrgetter("name"), operator.methodcaller("upper"), collections.OrderedDict(a=1), [1, {"k": (2, None)}]])
-@pytest.mark.parametrize("protocol", [2, 4])
-def test_ordinary_objects_are_clean(spark, value, protocol):
-    for strict in (False, True):
-        got = judged(spark, pickle.dumps(value, protocol), strict)
-        assert got.threats == [] and got.risk_level == "MEDIUM (Pickle Present)"
-
-
-@pytest.mark.parametrize("value", [operator.attrgetter("__class__.__mro__"), operator.methodcaller("system", "id")])
-@pytest.mark.parametrize("protocol", [2, 4])
-def test_dual_use_arguments_count(spark, value, protocol):
-    for strict in (False, True):
-        assert len(judged(spark, pickle.dumps(value, protocol), strict).threats) == 1
+CLEAN = [operator.attrgetter("name"), operator.methodcaller("upper"), collections.OrderedDict(a=1), [1, {"k": (2, None)}]]
+DUAL_USE = [operator.attrgetter("__class__.__mro__"), operator.methodcaller("system", "id")]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_ordinary_objects_are_clean_and_dual_use_arguments_count(spark, strict):
+    made = [(f"{kind}{i}-{p}.pkl", pickle.dumps(v, p)) for kind, values in (("clean", CLEAN), ("dual", DUAL_USE)) for i, v in enumerate(values) for p in (2, 4)]
+    got = inspect.scan(spark.createDataFrame(made, "path string, content binary"), strict).collect()
+    assert len(got) == len(made) == 12
+    for r in got:
+        if r.name.startswith("clean"):
+            assert r.threats == [] and r.risk_level == "MEDIUM (Pickle Present)"
+        else:
+            assert len(r.threats) == 1
 
 
 def zipped(members, damage=False):
